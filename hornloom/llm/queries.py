@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.llm import quality_rules, topk_search, url_rules
+from hornloom.llm import pfair_mixing, quality_rules, ring_shards, topk_search, url_rules, warc_revisits
 from hornloom.llm._shared import table
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisits.resolve(warc_revisits.captures(table(spark, sf_dir, "pages")))
+
+
 def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -20,12 +24,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
+
+
+def op8_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_shards.place(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_topk_search, op5_quality_rules, op9_url_rules)}
+    return {f.__name__: f for f in (
+        op3_warc_revisits, op4_exact_topk_search, op5_quality_rules, op7_pfair_mixing, op8_bounded_ring_shards, op9_url_rules,
+    )}
 
 
 _TOPK = """
@@ -38,4 +52,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk_search": _TOPK, "op9_url_rules": url_rules.sql()}
+    return {"op3_warc_revisits": warc_revisits.SQL, "op7_pfair_mixing": pfair_mixing.sql(), "op4_exact_topk_search": _TOPK, "op9_url_rules": url_rules.sql()}
