@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.llm import pfair_mixing, quality_rules, ring_shards, topk_search, url_rules, warc_revisits
+from hornloom.llm import minhash_dedup, pfair_mixing, quality_rules, ring_shards, topk_search, url_rules, warc_revisits
 from hornloom.llm._shared import table
 
 
+def op2_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisits.resolve(warc_revisits.captures(table(spark, sf_dir, "pages")))
 
@@ -38,7 +42,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_warc_revisits, op4_exact_topk_search, op5_quality_rules, op7_pfair_mixing, op8_bounded_ring_shards, op9_url_rules,
+        op2_minhash_bottom_k, op3_warc_revisits, op4_exact_topk_search, op5_quality_rules, op7_pfair_mixing, op8_bounded_ring_shards, op9_url_rules,
     )}
 
 
