@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.llm import minhash_dedup, pfair_mixing, quality_rules, ring_shards, topk_search, url_rules, warc_revisits
+from hornloom.llm import minhash_dedup, pfair_mixing, piece_sampling, pii_weak, quality_rules, ring_shards, topk_search, toxicity, url_rules, warc_revisits
 from hornloom.llm._shared import table
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.find(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op2_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
@@ -28,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
 
@@ -40,10 +48,15 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_minhash_bottom_k, op3_warc_revisits, op4_exact_topk_search, op5_quality_rules, op7_pfair_mixing, op8_bounded_ring_shards, op9_url_rules,
-    )}
+        op1_pii_weak_supervision, op2_minhash_bottom_k, op3_warc_revisits, op4_exact_topk_search, op5_quality_rules,
+        op6_toxicity_lexicon, op7_pfair_mixing, op8_bounded_ring_shards, op9_url_rules, op10_piece_sampling,
+    )}
 
 
 _TOPK = """
