@@ -66,12 +66,8 @@ def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
     return ranked.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_before") + F.col("_mix_in") - 1).drop("_mix_before", "_mix_in")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id", buckets: int = BUCKETS, columns: list[str] | None = None) -> DataFrame:
-    """docs (or the given columns of it) with source_rank, block, slot, position and in_mix.
-
-    position = slot * block_rows + place in the block: the row's place in the mixed order; in_mix as above.
-    """
-    columns = docs.columns if columns is None else columns
+def _placed(docs: DataFrame, weights: Mapping[str, int], block_rows: int, source: str, key: str, buckets: int, columns: list[str]) -> DataFrame:
+    """The columns with _mix_source_rank, _mix_block, _mix_slot, _mix_position and _mix_in_mix."""
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     rows = docs.select(*columns, F.coalesce(F.col(source), F.lit(NULL_SOURCE)).alias("_mix_source"), digest.alias("_mix_order"))
     rows = rows.withColumn("_mix_bucket", F.pmod(F.conv(F.substring("_mix_order", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
@@ -92,11 +88,29 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
     block = F.floor(F.col("_mix_rank") / block_rows)
     slot = F.floor(block / F.col("_mix_weight")) * total + F.get("_mix_places", F.pmod(block, F.col("_mix_weight")).cast("int"))
     return out.select(
-        *columns, F.col("_mix_rank").alias("source_rank"), block.alias("block"), slot.alias("slot"),
-        (slot * block_rows + F.pmod(F.col("_mix_rank"), F.lit(block_rows))).alias("position"), (slot < end).alias("in_mix"),
+        *columns, F.col("_mix_rank").alias("_mix_source_rank"), block.alias("_mix_block"), slot.alias("_mix_slot"),
+        (slot * block_rows + F.pmod(F.col("_mix_rank"), F.lit(block_rows))).alias("_mix_position"), (slot < end).alias("_mix_in_mix"),
     )
 
 
+OUTPUT = ("source_rank", "block", "slot", "position", "in_mix")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id", buckets: int = BUCKETS, columns: list[str] | None = None) -> DataFrame:
+    """docs (or the given columns of it) with source_rank, block, slot, position and in_mix; columns of docs with these names are left out.
+
+    position = slot * block_rows + place in the block: the row's place in the mixed order; in_mix as above.
+    """
+    columns = [c for c in columns or docs.columns if c not in OUTPUT]
+    placed = _placed(docs, weights, block_rows, source, key, buckets, columns)
+    return placed.select(*columns, *(F.col(f"_mix_{c}").alias(c) for c in OUTPUT))
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """docs with all their columns, sorted by their place in the mixed order over all partitions."""
+    return _placed(docs, weights, block_rows, source, key, buckets, docs.columns).orderBy("_mix_position").select(docs.columns)
+
+
 def sql(block_rows: int = BLOCK_ROWS, weights: Mapping[str, int] = WEIGHTS, buckets: int = BUCKETS) -> str:
     """The same over `documents` as DuckDB SQL; a recursive query plays the slots of one period one by one."""
     case = " ".join(f"WHEN '{s}' THEN {w}" for s, w in weights.items())

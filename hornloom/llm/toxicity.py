@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Production parameters.
-SAMPLE, MIN_TOXIC, MIN_SHARE, MIN_ODDS, MIN_RATIO, MIN_TERM, MAX_START, MAX_TERMS, L1, LEAST_WEIGHT, CUT = 5_000, 5, 0.02, 3.0, 3, 3, 8, 600, 0.001, 0.3, 0.7
+SAMPLE, MIN_TOXIC, MIN_SHARE, MIN_ODDS, MIN_RATIO, MIN_TERM, MAX_START, MAX_TERMS, L1, LEAST_WEIGHT, CUT = 5_000, 5, 0.02, 3.0, 1, 3, 8, 600, 0.001, 0.3, 0.7
 
 #: Look-alikes of letters, signs and digits that stand for letters inside words, and characters without width.
 HOMOGLYPHS = {
@@ -175,7 +175,7 @@ def _candidates(texts: list[tuple[str, int]]) -> dict[str, float]:
     for w, a in toxic.items():
         b = clean[w]
         low = math.log(((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5))) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-        if low >= math.log(MIN_ODDS) and a >= MIN_RATIO * b:
+        if low >= math.log(MIN_ODDS):
             sure[w] = low
     dropped = set()
     # Of starts with the same counts the longest stands for all, and a whole word for its starts.
@@ -231,6 +231,15 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
                 toxic[f"{a} {b}"] += y
     learned = sorted(p for p, n in around.items() if n >= 8 and toxic[p] <= 0.1 * n)
     exceptions = tuple(dict.fromkeys([*PHRASES, *learned]))
+    # Outside the exceptions a term must be toxic by far more often than not.
+    automaton = build(Model(weights, exceptions, 0, 0, 0))
+    clean: Counter = Counter()
+    toxic = Counter()
+    for t, y in texts:
+        (toxic if y else clean).update({term for term, _ in matches(automaton, t)})
+    weights = {w: v for w, v in weights.items() if toxic[w] >= MIN_RATIO * clean[w] and toxic[w]}
+    if not weights:
+        return _SEED_MODEL
     automaton = build(Model(weights, exceptions, 0, 0, 0))
     x = np.array([[1.0, *_features(matches(automaton, t), t)] for t, _ in texts])
     y = np.array([y for _, y in texts], float)
@@ -280,3 +289,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     return score(docs, fit(docs, labels, **names))
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the cut; only the text travels to Python."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for frame in _score(model)(pd.DataFrame({"text": b}) for b in batches):
+            yield frame["score"]
+
+    return docs.where(scores(F.col(text)) < cut)
