@@ -63,16 +63,21 @@ class _Store:
         return delta, n
 
 
-def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds: int | None = None, work_dir: str | None = None, count_candidates: bool = False) -> Outcome:
-    """facts: (s, p, o) ids of the asserted triples."""
+def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds: int | None = None, work_dir: str | None = None, count_candidates: bool = False, before: DataFrame | None = None) -> Outcome:
+    """facts: (s, p, o) ids of the asserted triples; before: facts that are complete already, to which these are added."""
     began = time.perf_counter()
     extra = [(id_of(a), DIFFERENT_ID, id_of(b)) for x, y in rules.different for a, b in ((x, y), (y, x))]
     if extra:
         facts = facts.unionByName(spark.createDataFrame(extra, FACT))
-    asserted = settle(facts.distinct(), "asserted", work_dir)
-    tables, store = RuleTables(spark, rules), _Store(asserted, work_dir)
+    if before is None:
+        asserted = settle(facts.distinct(), "asserted", work_dir)
+        store = _Store(asserted, work_dir)
+    else:
+        store = _Store(before, work_dir)
+        asserted, _ = store.fresh(facts)
+    tables = RuleTables(spark, rules)
     out = Outcome(asserted, asserted, None)
-    with_equality = bool(rules.same or rules.fp or rules.ifp or rules.mc1 or rules.keys) or any(h[0] == "same" for _, h in rules.swrl) or not asserted.where(F.col("p") == swrl.SAME_ID).isEmpty()
+    with_equality = bool(rules.same or rules.fp or rules.ifp or rules.mc1 or rules.keys) or any(h[0] == "same" for _, h in rules.swrl) or not store.known.where(F.col("p") == swrl.SAME_ID).isEmpty()
     same: DataFrame | None = None
     merged = 0
 
