@@ -92,6 +92,13 @@ class Result:
             shown = F.create_map(*(F.lit(t) for kv in self.schema.display.items() for t in kv))
             for c in "abcd":
                 x = x.withColumn(c, F.when(F.col(c).startswith(PROXY), F.coalesce(F.element_at(shown, F.col(c)), F.col(c))).otherwise(F.col(c)))
+        return self._pair_order(x)
+
+    def _pair_order(self, x: DataFrame) -> DataFrame:
+        """Pairs without a direction are shown in the order of their text."""
+        for kinds, (i, j) in ((("DifferentIndividuals", "Asymmetric"), "ab"), (("LiteralConflict",), "bc")):
+            swap = F.col("kind").isin(*kinds) & (F.col(i) > F.col(j))
+            x = x.withColumns({i: F.when(swap, F.col(j)).otherwise(F.col(i)), j: F.when(swap, F.col(i)).otherwise(F.col(j))})
         return x
 
     def messages(self) -> DataFrame:

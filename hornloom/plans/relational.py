@@ -182,7 +182,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT {_n('document', 'a.doc_id')} AS s, {_c(SAME_AS)} AS p, {_n('document', 'b.doc_id')} AS o FROM {_TWINS} UNION ALL " + _row(_HASH, TYPE, _c("Hash"), "documents")),
     "e8_has_key": Query(("parts", "part_names", "brands", "part_types"), "HasKey(:Part () (:name :brand :ptype))", f"SELECT {_n('part', 'a.p_partkey')} AS s, {_c(SAME_AS)} AS p, {_n('part', 'b.p_partkey')} AS o FROM {_KEYED}"),
     "e12_i8_different": Query(("hashes",), "InverseFunctionalObjectProperty(:contentHash) DLSafeRule(Body(ObjectPropertyAtom(:contentHash Variable(:x) Variable(:h)) ObjectPropertyAtom(:contentHash Variable(:y) Variable(:h)) SameIndividualAtom(Variable(:x) Variable(:y))) Head(DifferentIndividualsAtom(Variable(:x) Variable(:y))))",
-        None, "violations"),
+        _violation("DifferentIndividuals", _TWINS, f"least({_n('document', 'a.doc_id')}, {_n('document', 'b.doc_id')})", f"greatest({_n('document', 'a.doc_id')}, {_n('document', 'b.doc_id')})"), "violations"),
     "i1_disjoint_classes": Query(("segments",), "SubClassOf(<urn:t:segment/BUILDING> :A) SubClassOf(<urn:t:segment/BUILDING> :B) DisjointClasses(:A :B :C)", _violation("DisjointClasses", "customer WHERE c_mktsegment = 'BUILDING'", _CUST, _c("A"), _c("B")), "violations"),
     "i2_complement": Query(("segments",), "SubClassOf(<urn:t:segment/BUILDING> :A) SubClassOf(:A ObjectComplementOf(<urn:t:segment/BUILDING>))", _violation("ComplementOf", "customer WHERE c_mktsegment = 'BUILDING'", _CUST, _c("A"), _c("segment/BUILDING")), "violations"),
     "i3_disjoint_properties": Query(("contains",), "SubObjectPropertyOf(:contains :has) DisjointObjectProperties(:contains :has)", _violation("DisjointProperties", "lineitem", _n("order", "l_orderkey"), _n("part", "l_partkey"), _c("contains"), _c("has")), "violations"),
@@ -190,7 +190,8 @@ QUERIES: dict[str, Query] = {
     "i5_irreflexive": Query(("placed",), "SubObjectPropertyOf(ObjectPropertyChain(:placedBy ObjectInverseOf(:placedBy)) :sameBuyer) IrreflexiveObjectProperty(:sameBuyer)", _violation("Irreflexive", "orders", _ORDER, _c("sameBuyer")), "violations"),
     "i7_negative": Query(("nations",), "NegativeObjectPropertyAssertion(:locatedIn <urn:t:nation/0> <urn:t:region/0>) NegativeObjectPropertyAssertion(:locatedIn <urn:t:nation/1> <urn:t:region/0>)",
         _violation("NegativeAssertion", "nation WHERE n_nationkey IN (0, 1) AND n_regionkey = 0", _NATION, _c("locatedIn"), _REGION), "violations"),
-    "i9_literal_conflict": Query(("part_names", "brands"), "SubDataPropertyOf(:name :label) SubDataPropertyOf(:brand :label) FunctionalDataProperty(:label)", None, "violations"),
+    "i9_literal_conflict": Query(("part_names", "brands"), "SubDataPropertyOf(:name :label) SubDataPropertyOf(:brand :label) FunctionalDataProperty(:label)",
+        _violation("LiteralConflict", "part", _n("part", "p_partkey"), "least('\"' || p_name || '\"', '\"' || p_brand || '\"')", "greatest('\"' || p_name || '\"', '\"' || p_brand || '\"')", _c("label")), "violations"),
     "k3_closure": Query(("nations",), "TransitiveObjectProperty(:locatedIn) InverseObjectProperties(:locatedIn :locationOf)",
         f"SELECT {_NATION} AS s, {_c('locatedIn')} AS p, {_REGION} AS o FROM nation UNION ALL SELECT {_REGION}, {_c('locationOf')}, {_NATION} FROM nation", "closure"),
 }
