@@ -133,6 +133,20 @@ def test_revisit_merges_permitted_headers(spark):
     assert warc_revisits.resolve(spark.createDataFrame([], RECORD)).collect() == []
 
 
+# -- native operators ------------------------------------------------------------------------------------------------
+
+
+def test_native_operators_plan_no_python(spark):
+    import re
+
+    from hornloom.llm import pii_weak, ring_shards
+
+    docs = spark.createDataFrame([(1, "a@b.c"), (2, "x")], "doc_id long, text string")
+    for df in (pii_weak.scan(docs), pii_weak.find(docs), ring_shards.place(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
 # -- pipeline --------------------------------------------------------------------------------------------------------
 
 
