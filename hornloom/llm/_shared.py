@@ -32,6 +32,13 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers take at most so many texts at once, where the session allows more: bounds their memory on long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array of strings; null and blank texts have none."""
     bare = F.btrim(text, F.lit(WORD_SPACE))

@@ -12,7 +12,7 @@ No normalisation is applied: a space stands for U+2581, a real U+2581 is written
 empty (dropped by decoding), so decoding gives back every text exactly.
 
 Defined cases: null and empty texts have no pieces and decode to null or the empty text. A null key is the key ''. Repeated rows get equal pieces. Extra columns are ignored. Texts of
-any length are encoded whole, in chunks of CHUNK characters or one text.
+any length are encoded whole, in chunks of about CHUNK bytes or one text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornloom.llm._shared import light_batches
+
 #: Production parameters. The path of the model is a parameter; the file is not part of this package.
-MODEL, ALPHA, SHIFT, CHUNK, LONG, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 10.0, 1_000_000, 48, 4096
+MODEL, ALPHA, SHIFT, CHUNK, LONG, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 10.0, 500_000, 48, 4096
 
 _GAP, _REAL_GAP = 0x2581, 0x110001  # the code of a space, and that of a real U+2581
 _LIMIT = 0x110002
@@ -68,7 +72,7 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces as hashes in ascending order with ids and log weights, the bytes of each id, and the id of each byte."""
+    """Pieces as hashes in ascending order with ids and log weights, the bytes of each id, the id of each byte, and the hashes of all proper beginnings."""
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -78,11 +82,24 @@ class Vocabulary:
     byte_log: float
     known: np.ndarray
     longest: int
+    starts: np.ndarray
 
     def __post_init__(self) -> None:
-        # A first test of hashes by one bit each spares most searches.
-        self.bits = np.zeros(1 << 20, bool)
+        # First tests by one bit each: most slices start no piece, and most others are none.
+        self.bits, self.start_bits = np.zeros(1 << 20, bool), np.zeros(1 << 21, bool)
         self.bits[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.start_bits[(self.starts & np.uint64(0x1FFFFF)).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k not in ("bits", "start_bits")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def may_go_on(self, h: np.ndarray) -> np.ndarray:
+        """False where no longer piece starts with the slice."""
+        return self.start_bits[(h & np.uint64(0x1FFFFF)).astype(np.int64)]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in `ids` of the hashes, -1 where no piece has one."""
@@ -118,7 +135,8 @@ def load(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
     order = np.argsort(h)
     known = np.zeros(_LIMIT, bool)
     known[np.unique(np.concatenate(codes))] = True
-    return Vocabulary(h[order], np.array(plain)[order], (-alpha * np.log(rank + SHIFT))[order], raw, byte_ids, -alpha * float(np.log(n + SHIFT)), known, max(map(len, codes)))
+    starts = np.array(sorted({int(x) for c in codes if len(c) > 1 for x in _slices(_sums(c), np.zeros(len(c) - 1, np.int64), np.arange(1, len(c)))}), np.uint64)
+    return Vocabulary(h[order], np.array(plain)[order], (-alpha * np.log(rank + SHIFT))[order], raw, byte_ids, -alpha * float(np.log(n + SHIFT)), known, max(map(len, codes)), starts)
 
 
 def _byte_length(code: np.ndarray) -> np.ndarray:
@@ -137,15 +155,22 @@ def _lattice(v: Vocabulary, sums, codes: np.ndarray, start: np.ndarray, length:
     top = min(length, v.longest)
     logs = np.full((len(start), length, top), -np.inf)
     ids = np.zeros((len(start), length, top), np.int64)
+    word, at = (x.ravel() for x in np.indices((len(start), length)))
+    code = codes[start[:, None] + np.arange(length)].astype(np.int64)
+    logs[:, :, 0], ids[:, :, 0] = v.byte_log * _byte_length(code), -1 - code
     for size in range(1, top + 1):
-        first = start[:, None] + np.arange(length - size + 1)[None, :]
-        at = v.find(_slices(sums, first, first + size))
-        logs[:, size - 1 :, size - 1] = np.where(at >= 0, v.logs[at], -np.inf)
-        ids[:, size - 1 :, size - 1] = v.ids[at]
-        if size == 1:
-            code = codes[first].astype(np.int64)
-            logs[:, :, 0] = np.where(at >= 0, logs[:, :, 0], v.byte_log * _byte_length(code))
-            ids[:, :, 0] = np.where(at >= 0, ids[:, :, 0], -1 - code)
+        fits = at + size <= length
+        word, at = word[fits], at[fits]
+        first = start[word] + at
+        h = _slices(sums, first, first + size)
+        found = v.find(h)
+        hit = found >= 0
+        place = word[hit], at[hit] + size - 1, size - 1
+        logs[place], ids[place] = v.logs[found[hit]], v.ids[found[hit]]
+        more = v.may_go_on(h)
+        word, at = word[more], at[more]
+        if not len(word):
+            break
     return logs, ids
 
 
@@ -247,18 +272,20 @@ def seed_of(key: object, salt: int = 0) -> int:
 
 
 def _pieces(v: Vocabulary, salt: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            keys = [int(k) if isinstance(k, float) and k == k else k for k in f["key"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-                    size += len(texts[j])
-                    j += 1
-                ids = encode(v, texts[i:j], np.array([seed_of(k, salt) for k in keys[i:j]], np.uint64))
-                yield pd.DataFrame({"key": f["key"].iloc[i:j].to_numpy(), "ids": ids, "n_pieces": [len(x) for x in ids], "lossless": [decode(v, x) == t for x, t in zip(ids, texts[i:j], strict=True)]})
+            while i < batch.num_rows:
+                # As many rows as fit into a chunk, one at least; only their texts become Python objects.
+                j = max(i + 1, i + int(np.searchsorted(np.cumsum(sizes[i:]), CHUNK, side="right")))
+                part = batch.slice(i, j - i)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = encode(v, texts, np.array([seed_of(k, salt) for k in part.column(0).to_pylist()], np.uint64))
+                counts = np.array([len(x) for x in ids], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                whole = [decode(v, x) == t for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())), pa.array(counts), pa.array(whole)], ["key", "ids", "n_pieces", "lossless"])
                 i = j
 
     return run
@@ -266,10 +293,11 @@ def _pieces(v: Vocabulary, salt: int):
 
 def sample_pieces(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, salt: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids, n_pieces, lossless (decoding gave the text back) for each row."""
+    light_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # The vocabulary travels with the function: a few hundred kilobytes, whatever the corpus.
-    return d.mapInPandas(_pieces(load(path, alpha), salt), f"key {kind}, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("key", key)
+    return d.mapInArrow(_pieces(load(path, alpha), salt), f"key {kind}, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("key", key)
 
 
 def _texts(v: Vocabulary):

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hornloom.llm._shared import light_batches
+
 #: Production parameters.
 SAMPLE, MIN_TOXIC, MIN_SHARE, MIN_ODDS, MIN_RATIO, MIN_TERM, MAX_START, MAX_TERMS, L1, LEAST_WEIGHT, CUT = 5_000, 5, 0.02, 3.0, 1, 3, 8, 600, 0.001, 0.3, 0.7
 
@@ -282,6 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
     """key, held_out, score, predicted for each row."""
+    light_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     s = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(_score(model), f"key {kind}, score double")
     return s.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
@@ -293,6 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the cut; only the text travels to Python."""
+    light_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
