@@ -141,7 +141,7 @@ def test_native_operators_plan_no_python(spark):
 
     from hornloom.llm import pii_weak, ring_shards
 
-    docs = spark.createDataFrame([(1, "a@b.c"), (2, "x")], "doc_id long, text string")
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'a@b.c'), (2L, 'x') AS t (doc_id, text)")
     for df in (pii_weak.scan(docs), pii_weak.find(docs), ring_shards.place(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
