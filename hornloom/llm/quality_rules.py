@@ -118,3 +118,25 @@ def quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """`measure`, with base_failed (too short, or over a fifth repeated) and kept."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measure(docs, text, keep).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(thresholds))
+
+
+def sql(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> str:
+    """The query over `documents` as DuckDB SQL: windows and lines are unnested and counted."""
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    tests = [f"{t.measure} {op} {bound}" for t in thresholds for op, bound in ((">=", t.low), ("<=", t.high)) if bound is not None]
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END"
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+{WINDOW - 1}], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+    r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM n, range({WINDOW}) AS x(k) WHERE c > 1 GROUP BY doc_id),
+    m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, length(t) - length(translate(t, '!', '')) AS n_shouts,
+            CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+            len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words,
+            len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[•●*-]'))) AS n_bullet_lines
+          FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+    q AS (SELECT *, {ratio("word_chars", "n_words")} AS mean_word_length, {ratio("n_symbols", "n_words")} AS symbol_ratio, {ratio("n_shouts", "n_words")} AS shout_ratio, {ratio("n_stop_words", "n_words")} AS stop_word_ratio,
+            {ratio("n_dup_lines", "n_lines")} AS dup_line_ratio, {ratio("n_ellipsis_lines", "n_lines")} AS ellipsis_line_ratio, {ratio("n_bullet_lines", "n_lines")} AS bullet_line_ratio FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {" AND ".join(tests)} AS kept FROM q"""

@@ -69,4 +69,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": warc_revisits.SQL, "op7_pfair_mixing": pfair_mixing.sql(), "op4_exact_topk_search": _TOPK, "op9_url_rules": url_rules.sql()}
+    return {"op3_warc_revisits": warc_revisits.SQL, "op7_pfair_mixing": pfair_mixing.sql(), "op4_exact_topk_search": _TOPK, "op5_quality_rules": quality_rules.sql(), "op9_url_rules": url_rules.sql()}
