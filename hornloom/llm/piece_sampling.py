@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from hornloom.llm._shared import light_batches
 
 #: Production parameters. The path of the model is a parameter; the file is not part of this package.
-MODEL, ALPHA, SHIFT, CHUNK, LONG, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 10.0, 500_000, 48, 4096
+MODEL, ALPHA, SHIFT, CHUNK, LONG, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 10.0, 1_000_000, 48, 4096
 
 _GAP, _REAL_GAP = 0x2581, 0x110001  # the code of a space, and that of a real U+2581
 _LIMIT = 0x110002
@@ -156,6 +156,7 @@ def _lattice(v: Vocabulary, sums, codes: np.ndarray, start: np.ndarray, length:
     logs = np.full((len(start), length, top), -np.inf)
     ids = np.zeros((len(start), length, top), np.int64)
     word, at = (x.ravel() for x in np.indices((len(start), length)))
+    used = 1
     code = codes[start[:, None] + np.arange(length)].astype(np.int64)
     logs[:, :, 0], ids[:, :, 0] = v.byte_log * _byte_length(code), -1 - code
     for size in range(1, top + 1):
@@ -165,13 +166,14 @@ def _lattice(v: Vocabulary, sums, codes: np.ndarray, start: np.ndarray, length:
         h = _slices(sums, first, first + size)
         found = v.find(h)
         hit = found >= 0
+        used = size if hit.any() else used
         place = word[hit], at[hit] + size - 1, size - 1
         logs[place], ids[place] = v.logs[found[hit]], v.ids[found[hit]]
         more = v.may_go_on(h)
         word, at = word[more], at[more]
         if not len(word):
             break
-    return logs, ids
+    return logs[:, :, :used], ids[:, :, :used]  # no longer edge is in these words
 
 
 def _filtered(logs: np.ndarray) -> np.ndarray:
