@@ -7,10 +7,10 @@ the span) and borders (glued to letters or digits). Votes are counted per kind o
 3**4, so EM runs on a table of at most 324 rows, as one SQL expression. The posteriors are soft labels that train a naive Bayes classifier over span features (form, borders, length,
 hashed word before), whose tables are bounded as well. Looser spans that the classifier accepts are added.
 
-Everything is DataFrame expressions; texts are scanned once and never shuffled.
+Everything is DataFrame expressions; texts are scanned once and never shuffled. The model is one row, broadcast to all rows of candidates.
 
 Defined cases: a null or empty text has no spans (its digest is that of the empty string). Offsets count code points, end exclusive. Repeated rows get
-equal spans; a null id keeps its base spans only. Added spans do not overlap base spans. Without candidates nothing is added. Extra columns are
+equal spans; ids take no part, so rows with a null id or with the id of another row have the spans of their own text. Added spans do not overlap base spans. Without candidates nothing is added. Extra columns are
 ignored.
 """
 
@@ -214,8 +214,8 @@ def posterior(v: Column, a: Column) -> Column:
     return true / (true + false)
 
 
-def classify(candidates: DataFrame) -> DataFrame:
-    """candidates with `chance`: the votes' posterior combined with the naive Bayes evidence of the span's features."""
+def learned(candidates: DataFrame) -> DataFrame:
+    """One row with `_model`: for each kind, the labelers' reliabilities r and the naive Bayes weights of the span features."""
     # All tables that are broadcast here have one row per kind, or per kind and feature value (at most KINDS x (HASHED + 60)).
     rates = reliabilities(candidates)
     rates = rates.select("kind", F.struct(*(c for c in rates.columns if c != "kind")).alias("r"))
@@ -224,11 +224,18 @@ def classify(candidates: DataFrame) -> DataFrame:
     table = each.groupBy("kind", "feature").agg((F.sum("g") + 1.0).alias("t"), (F.sum(1 - F.col("g")) + 1.0).alias("f"))
     total = soft.groupBy("kind").agg((F.sum("g") + 1.0).alias("kt"), (F.sum(1 - F.col("g")) + 1.0).alias("kf"))
     evidence = table.join(F.broadcast(total), "kind").groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.log((F.col("t") / F.col("kt")) / (F.col("f") / F.col("kf"))).alias("w")))).alias("weights"))
-    scored = soft.join(F.broadcast(evidence), "kind")
+    model = evidence.join(F.broadcast(rates), "kind").select("kind", F.struct("r", "weights").alias("m"))
+    return model.agg(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("_model"))
+
+
+def chance(s: Column, model: Column) -> Column:
+    """The chance that a candidate is true: the votes' posterior combined with the naive Bayes evidence of the span's features."""
+    m = F.element_at(model, s.kind)
+    g = posterior(s.votes, m.r)
     # Features repeat what the form says; at half weight they break ties of the votes and do not drown them.
-    weight = F.aggregate("features", F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at("weights", f), F.lit(0.0)) * 0.5)
-    odds = F.log(F.greatest(F.col("g"), F.lit(1e-9)) / F.greatest(1 - F.col("g"), F.lit(1e-9))) + weight
-    return scored.withColumn("chance", 1 / (1 + F.exp(-odds))).drop("weights")
+    weight = F.aggregate(s.features, F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(m.weights, f), F.lit(0.0)) * 0.5)
+    odds = F.log(F.greatest(g, F.lit(1e-9)) / F.greatest(1 - g, F.lit(1e-9))) + weight
+    return 1 / (1 + F.exp(-odds))
 
 
 def _joined(spans: Column) -> Column:
@@ -239,24 +246,26 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and span_list for each row."""
     scanned = settle(scan(docs, key, text), "pii")
-    candidates = scanned.where(F.size("candidates") > 0).select(F.col(key).alias("_key"), F.inline("candidates"))
-    added = classify(candidates).where((F.col("loose") == 1) & (F.col("chance") >= accept) & F.col("_key").isNotNull())
-    added = added.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_added"))
-    d = scanned.drop("candidates").join(added, F.col(key) == F.col("_key"), "left").drop("_key")
-    d = d.withColumn("_added", F.coalesce("_added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
+    model = learned(scanned.where(F.size("candidates") > 0).select(F.inline("candidates")))
+    # Each row is judged from its own candidates: no join on the key, which may be null or repeated.
+    d = scanned.crossJoin(F.broadcast(model))
+    taken = F.filter("candidates", lambda s: (s.loose == 1) & (chance(s, F.col("_model")) >= accept))
+    d = d.withColumn("_added", F.transform(taken, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))).drop("candidates", "_model")
     count = lambda i: F.size(F.filter("base", lambda s: s.kind == i)).cast("long")
     every = F.array_sort(F.concat("base", "_added"))
     return d.select(key, *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("_added").cast("long").alias("n_added"), every.alias("span_list"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every found span of the text replaced by <KIND>; all other columns stay. A null text stays null."""
-    found = find(docs, key, text).select(F.col(key).alias("_pii_key"), F.col("span_list").alias("_pii_spans")).where((F.size("_pii_spans") > 0) & F.col("_pii_key").isNotNull()).dropDuplicates(["_pii_key"])
-    d = docs.join(found, F.col(key) == F.col("_pii_key"), "left")
+    """docs with every found span of the text replaced by <KIND>; all other columns stay. A null text stays null.
+
+    The whole row travels with its own spans, so null or repeated ids make no difference.
+    """
+    d = find(docs.select(F.struct(*docs.columns).alias("_pii_row"), F.col(text)), "_pii_row", text)
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    order = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    order = F.array_sort(F.transform("span_list", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    t = F.col(text)
+    t = F.col("_pii_row")[text]
 
     def step(a: Column, s: Column) -> Column:
         # Spans of two kinds may overlap: the later one only extends what is hidden.
@@ -264,4 +273,4 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return F.struct(F.concat(a.out, gap).alias("out"), F.greatest(a.at, s.end).alias("at"))
 
     hidden = F.aggregate(order, first, step, lambda a: F.concat(a.out, F.substring(t, a.at + 1, F.length(t))))
-    return d.select(*(F.when(F.col("_pii_spans").isNull(), t).otherwise(hidden).alias(c) if c == text else F.col(c) for c in docs.columns))
+    return d.select(*(F.when(F.size("span_list") == 0, t).otherwise(hidden).alias(c) if c == text else F.col("_pii_row")[c].alias(c) for c in docs.columns))

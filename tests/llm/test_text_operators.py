@@ -75,6 +75,18 @@ def test_pii_adds_loose_spans_and_redacts(spark):
     assert text[201] is None and text[202] == "" and text[200] == rows[-3][1]
 
 
+def test_pii_rows_with_null_or_repeated_ids_are_redacted_from_their_own_text(spark):
+    rows = [(i, f"contact me by e-mail: person{i} [at] mail [dot] com soon") for i in range(20)]
+    rows += [(None, "mail a@b.example.com, host 10.1.2.3, card 4111 1111 1111 1111, call +1 (555) 123-1000 thanks"), (None, "contact me by e-mail: nobody [at] mail [dot] com soon"), (None, "nothing here"), (None, None)]
+    rows += [(7, "a longer beginning, then x@y.example.com"), (7, "z@y.example.com first"), (7, "no address in this one, so it stays as it is")]
+    out = pii_weak.redact(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([
+        *((i, "contact me by e-mail: <EMAIL> soon") for i in range(20)), (None, "mail <EMAIL>, host <IP>, card <CARD>, call <PHONE> thanks"), (None, "contact me by e-mail: <EMAIL> soon"), (None, "nothing here"), (None, None),
+        (7, "a longer beginning, then <EMAIL>"), (7, "<EMAIL> first"), (7, "no address in this one, so it stays as it is"),
+    ])
+    assert pii_weak.redact(docs(spark, [])).collect() == []
+
+
 def test_pii_empty_table(spark):
     assert pii_weak.find(docs(spark, [])).collect() == []
 
