@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> dict:
+    """Returns the report without its list of inconsistencies, which goes to the log and the report file alone."""
     from hornloom.plans.reason import Options, reason
     from hornloom.sources.ontology import load
     from hornloom.sources.rdf import read_rdf
@@ -53,14 +54,16 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
     ontology = load(args.ontology) if args.ontology else None
     options = Options(args.extract_ontology, args.ignore_annotation_axioms, args.profile == "sound", args.max_iterations, args.inconsistency_mode, args.work_dir)
     result = reason(spark, read_rdf(spark, args.data), ontology.axioms if ontology else None, options, len(ontology.residue) if ontology else 0)
-    for r in result.messages().limit(1000).collect():
-        log.warning("%s: %s", r["kind"], r["detail"])
+    # All of them, in one order, partition by partition through the driver.
+    messages = result.messages().orderBy("kind", "detail")
+    if log.isEnabledFor(logging.WARNING):
+        for r in messages.toLocalIterator():
+            log.warning("%s: %s", r["kind"], r["detail"])
     triples = result.inferred() if args.emit == "inferred" else result.closure()
     written = write_ntriples(triples, args.output, not args.folder)
     report = result.report | {"input": {"paths": args.data, "dictionary_terms": result.dictionary.count(), "output_triples": written, "memory_budget_bytes": args.memory_budget}}
-    report["inconsistencies"] = [{"kind": r["kind"], "detail": r["detail"]} for r in result.messages().limit(1000).collect()]
     if args.report:
-        write_report(report, args.report)
+        write_report(report, args.report, ({"kind": r["kind"], "detail": r["detail"]} for r in messages.toLocalIterator()))
     return report
 
 

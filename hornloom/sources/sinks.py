@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def write_ntriples(triples: DataFrame, path: str, single_file: bool = False) ->
     return n
 
 
-def write_report(report: dict, path: str) -> None:
+def write_report(report: dict, path: str, inconsistencies: Iterable[dict] = ()) -> None:
+    """The report with all inconsistencies as its last entry; these are written one by one, so they may be many."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, default=str)
+        f.write(json.dumps(report, indent=2, default=str).removesuffix("\n}") + ',\n  "inconsistencies": [')
+        i = -1
+        for i, x in enumerate(inconsistencies):
+            f.write((",\n    " if i else "\n    ") + json.dumps(x, default=str))
+        f.write("\n  ]\n}" if i >= 0 else "]\n}")

@@ -74,6 +74,18 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert not halted.exists()
 
 
+def test_report_has_every_inconsistency(spark, tmp_path, caplog):
+    (tmp_path / "d.nt").write_text("".join(f"<http://e/x{i}> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://e/A> .\n" for i in range(1200)))
+    (tmp_path / "o.ofn").write_text("Prefix(:=<http://e/>) Ontology(SubClassOf(:A :B) DisjointClasses(:A :B))")
+    report = tmp_path / "report.json"
+    args = cli.parser().parse_args(["reason", str(tmp_path / "d.nt"), "-O", str(tmp_path / "o.ofn"), "-o", str(tmp_path / "out.nt"), "--report", str(report)])
+    with caplog.at_level("WARNING", logger="hornloom"):
+        cli.run(args, spark)
+    listed = [x["detail"] for x in json.loads(report.read_text())["inconsistencies"]]
+    assert len(set(listed)) == 1200 and listed == sorted(listed)
+    assert [x.getMessage() for x in caplog.records if x.name == "hornloom" and x.levelname == "WARNING"] == [f"DisjointClasses: {x}" for x in listed]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ax = parse_functional("Prefix(:=<http://e/>) Ontology(TransitiveObjectProperty(:p) ObjectPropertyDomain(:p :C))")
     source = tmp_path / "in"
