@@ -134,6 +134,17 @@ def terms_of(schema: Schema, rules: Rules) -> set[str]:
     return out
 
 
+def asserted(triples: DataFrame, schema: Schema, own: bool = True) -> DataFrame:
+    """The triples, the datatypes of their literals where data ranges need them, and (own) the ontology's own assertions."""
+    every = triples.select("s", "p", "o")
+    if own and (schema.types or schema.props):
+        every = every.unionByName(triples.sparkSession.createDataFrame([(s, TYPE, c) for s, c in sorted(schema.types)] + sorted(schema.props), "s string, p string, o string"))
+    if schema.has_data_ranges:
+        literals = every.where((F.col("p") != TYPE) & F.col("o").startswith('"')).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), datatype_column(F.col("o")).alias("o")).distinct()
+        every = every.unionByName(literals)
+    return every
+
+
 def reason(spark: SparkSession, triples: DataFrame, axioms: list[tuple] | None = None, options: Options | None = None, residue: int = 0) -> Result:
     """triples: (s, p, o) as canonical text. Without axioms, or on request, the schema is taken out of the triples."""
     o, began = options or Options(), time.perf_counter()
@@ -146,11 +157,7 @@ def reason(spark: SparkSession, triples: DataFrame, axioms: list[tuple] | None =
         residue += len(rest)
     schema = lower(axioms, o.ignore_annotations)
     rules = compile_schema(schema, o.sound)
-    given = spark.createDataFrame([(s, TYPE, c) for s, c in sorted(schema.types)] + sorted(schema.props), "s string, p string, o string")
-    every = triples.select("s", "p", "o").unionByName(given) if schema.types or schema.props else triples.select("s", "p", "o")
-    if schema.has_data_ranges:
-        literals = every.where((F.col("p") != TYPE) & F.col("o").startswith('"')).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), datatype_column(F.col("o")).alias("o")).distinct()
-        every = every.unionByName(literals)
+    every = asserted(triples, schema)
     dictionary = settle(build(every, terms_of(schema, rules)), "dictionary", o.work_dir)
     ingested = time.perf_counter()
     outcome = materialize(spark, encode(every), rules, o.max_rounds, o.work_dir, o.count_candidates)

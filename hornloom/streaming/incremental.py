@@ -9,27 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hornloom.operators.dictionary import build, decode, encode
-from hornloom.operators.swrl import DIFFERENT_ID
-from hornloom.operators.tables import is_literal_id, settle
+from hornloom.operators.dictionary import build, encode
+from hornloom.operators.tables import settle
 from hornloom.plans.compile import compile_schema
 from hornloom.plans.fixpoint import Outcome, materialize
 from hornloom.plans.lower import lower
-from hornloom.plans.reason import Options, terms_of
+from hornloom.plans.reason import Options, Result, asserted, terms_of
 
 
 class IncrementalReasoner:
     def __init__(self, spark: SparkSession, axioms: list[tuple], options: Options | None = None):
         self.spark, self.options = spark, options or Options()
-        schema = lower(axioms, self.options.ignore_annotations)
-        self.rules = compile_schema(schema, self.options.sound)
-        self.given = sorted(terms_of(schema, self.rules))
+        self.schema = lower(axioms, self.options.ignore_annotations)
+        self.rules = compile_schema(self.schema, self.options.sound)
+        self.given = sorted(terms_of(self.schema, self.rules))
         self.outcome: Outcome | None = None
         self.dictionary: DataFrame | None = None
 
     def update(self, triples: DataFrame) -> Outcome:
-        """Adds (s, p, o) text triples and derives what follows from them."""
+        """Adds (s, p, o) text triples and derives what follows from them; the first update also adds the ontology's own assertions."""
         o = self.options
+        triples = asserted(triples, self.schema, own=self.outcome is None)
         new = build(triples, self.given)
         if self.dictionary is not None:
             new = new.unionByName(self.dictionary).groupBy("id").agg(F.min("term").alias("term"))
@@ -39,9 +39,8 @@ class IncrementalReasoner:
         return self.outcome
 
     def closure(self) -> DataFrame:
-        """All triples so far, as text."""
-        known = self.outcome.known.where(~is_literal_id(F.col("s")) & (F.col("p") != DIFFERENT_ID))
-        return decode(known, self.dictionary)
+        """All triples so far, as text, as reason() gives them."""
+        return Result(self.spark, self.outcome, self.dictionary, self.schema, self.rules, self.options).closure()
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Runs over a streaming frame of (s, p, o)."""

@@ -7,6 +7,7 @@ import pytest
 
 from hornloom.plans.reason import InconsistencyError, Options, reason
 from hornloom.sources.ofn import parse_functional
+from hornloom.streaming.incremental import IncrementalReasoner
 from hornloom.terms import OWL, SAME_AS, TYPE
 
 TRIPLES = "s string, p string, o string"
@@ -170,3 +171,18 @@ def test_data_ranges_and_schema_in_data(spark):
     r = reason(spark, spark.createDataFrame(data, TRIPLES))
     assert {tuple(x) for x in r.inferred().collect()} == {("<a:x>", TYPE, "<a:D>"), ("<a:y>", TYPE, "<a:R>")}
     assert len(r.closure().collect()) == 4
+
+
+def test_batches_give_the_closure_of_reason(spark):
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    ax = parse_functional(
+        f"Prefix(:=<http://a/>) Prefix(xsd:=<{xsd}>) Ontology(SubClassOf(DataSomeValuesFrom(:d xsd:integer) :N) SubClassOf(:N :M) TransitiveObjectProperty(:p)"
+        " ClassAssertion(:N :own) ObjectPropertyAssertion(:p :own :x) SubClassOf(:O ObjectOneOf(:k)) EquivalentClasses(:K ObjectOneOf(:k)) DataPropertyAssertion(:d :w \"7\"^^xsd:integer))"
+    )
+    data = [("<http://a/x>", "<http://a/d>", f'"5"^^<{xsd}integer>'), ("<http://a/x>", "<http://a/p>", "<http://a/y>"), ("<http://a/z>", "<http://a/d>", f'"6"^^<{xsd}integer>')]
+    want = {tuple(r) for r in reason(spark, spark.createDataFrame(data, TRIPLES), ax).closure().collect()}
+    r = IncrementalReasoner(spark, ax)
+    for x in data:
+        r.update(spark.createDataFrame([x], TRIPLES))
+    assert {tuple(x) for x in r.closure().collect()} == want
+    assert {("<http://a/own>", TYPE, "<http://a/M>"), ("<http://a/own>", "<http://a/p>", "<http://a/y>"), ("<http://a/z>", TYPE, "<http://a/M>"), ("<http://a/w>", TYPE, "<http://a/N>"), ("<http://a/k>", TYPE, "<http://a/K>")} <= want
