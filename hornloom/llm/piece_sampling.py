@@ -287,19 +287,20 @@ def _pieces(v: Vocabulary, salt: int):
                 counts = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 whole = [decode(v, x) == t for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())), pa.array(counts), pa.array(whole)], ["key", "ids", "n_pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())), pa.array(counts), pa.array(whole), *part.columns[2:]], ["key", "ids", "n_pieces", "lossless", *part.schema.names[2:]])
                 i = j
 
     return run
 
 
-def sample_pieces(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, salt: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids, n_pieces, lossless (decoding gave the text back) for each row."""
+def sample_pieces(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, salt: int = 0, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ids, n_pieces, lossless (decoding gave the text back) and the carried columns for each row."""
     light_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     # The vocabulary travels with the function: a few hundred kilobytes, whatever the corpus.
-    return d.mapInArrow(_pieces(load(path, alpha), salt), f"key {kind}, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("key", key)
+    return d.mapInArrow(_pieces(load(path, alpha), salt), f"key {kind}, ids array<int>, n_pieces long, lossless boolean{more}").withColumnRenamed("key", key)
 
 
 def _texts(v: Vocabulary):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hornloom.llm import topk_search, toxicity, url_rules, warc_revisits
+from hornloom.llm import pfair_mixing, topk_search, toxicity, url_rules, warc_revisits
 from hornloom.llm._shared import settle
 
 # -- top-k -----------------------------------------------------------------------------------------------------------
@@ -139,7 +139,7 @@ def test_revisit_merges_permitted_headers(spark):
 def test_native_operators_plan_no_python(spark):
     import re
 
-    from hornloom.llm import pii_weak, ring_shards
+    from hornloom.llm import pfair_mixing, pii_weak, ring_shards
 
     docs = spark.sql("SELECT * FROM VALUES (1L, 'a@b.c'), (2L, 'x') AS t (doc_id, text)")
     for df in (pii_weak.scan(docs), pii_weak.find(docs), ring_shards.place(docs)):
@@ -182,3 +182,18 @@ def test_pipeline_stages(spark, tmp_path):
     final = {x.doc_id: tuple(x.ids) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert final == {i: tuple(x.ids) for i, x in held["pieces"].items()}
     assert toxicity.held_out is not None
+
+
+def test_pipeline_result_has_the_mixed_order(spark, tmp_path):
+    source = ["src0"] * 240 + ["src1"] * 80 + ["src2"] * 80
+    rows = [(i, f"text number {i} of {x} with its own words a{i} b{i} c{i}", x) for i, x in enumerate(source)] + [(None, "a row without an id", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: x.position)
+    assert len({x.position for x in got}) == len(got) == len(rows)
+    of = lambda x: "src1" if x.doc_id is None else source[x.doc_id]
+    mixed = [of(x) for x in got if x.in_mix]
+    assert [x.in_mix for x in got] == [True] * len(mixed) + [False] * (len(got) - len(mixed)) and len(mixed) >= 160
+    weights = {"src0": 4, "src1": 3, "src2": 3}
+    for n in range(0, len(mixed), pfair_mixing.BLOCK_ROWS):
+        assert all(abs(mixed[:n].count(s) - n * w / 10) < pfair_mixing.BLOCK_ROWS for s, w in weights.items())
