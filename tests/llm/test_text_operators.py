@@ -158,6 +158,17 @@ def test_near_duplicates_defined_cases(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_keep_one_compares_rows_without_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, "more " + b), (None, None), (None, ""), (9, "another text of a few words"), (2**63 - 2, "at the upper end")]
+    # A row with an id stays where numbers above all ids are left.
+    for some, stays in ((rows, [None]), (rows[:-1], [5]), (rows[3:6], [])):
+        got = [(r.doc_id, r.text) for r in minhash_dedup.keep_one(docs(spark, some).repartition(3), width=3, num=85, den=100).collect()]
+        assert [i for i, t in got if "a0" in (t or "")] == stays and sum("b0" in (t or "") for _, t in got) == 1
+        alone = lambda pairs: sorted((i or 0, t or "") for i, t in pairs if not {"a0", "b0"} & set((t or "").split()))
+        assert alone(got) == alone(some)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in minhash_dedup.components(links).collect()}
