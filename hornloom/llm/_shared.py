@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +22,47 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a scan of it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one run, written as Parquet in the shared folder.
 
-    This cuts the lineage, and the files outlive a lost executor; readers push filters and columns down to them.
+    settle() cuts the lineage, and the files outlive a lost executor; readers push filters and columns down to them. The shuffle files of the
+    write go at once (they can't be read again), and drop() removes a table when all that follows from it is written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+        self.paths: dict[str, str] = {}
+
+    def settle(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths[what] = path = f"{self.folder}/{what}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """Writes df in the shared folder and returns a scan of it (see Scratch)."""
+    return Scratch(df.sparkSession).settle(df, what)
 
 
-def light_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Python workers take at most so many texts at once, where the session allows more: bounds their memory on long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def slices(batches: Iterable, rows: int = 1000) -> Iterator:
+    """Arrow batches or pandas frames in parts of at most so many rows: bounds what a Python worker makes of them at once."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows) if hasattr(b, "num_rows") else b.iloc[i : i + rows]
 
 
 def words(text: Column) -> Column:

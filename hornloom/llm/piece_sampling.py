@@ -28,7 +28,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornloom.llm._shared import light_batches
 
 #: Production parameters. The path of the model is a parameter; the file is not part of this package.
 MODEL, ALPHA, SHIFT, CHUNK, LONG, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 10.0, 1_000_000, 48, 4096
@@ -295,7 +294,6 @@ def _pieces(v: Vocabulary, salt: int):
 
 def sample_pieces(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, salt: int = 0, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, ids, n_pieces, lossless (decoding gave the text back) and the carried columns for each row."""
-    light_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

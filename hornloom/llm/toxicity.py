@@ -8,8 +8,9 @@ exception do not count. The score is a logistic function of the summed weight an
 Training uses at most SAMPLE labelled rows (the documented bound; chosen by hash, so alike at every size); the lexicon then fits in a few kilobytes. All
 texts are scored whole.
 
-Defined cases: a null or empty text has no match and gets the score of an empty text. A null id is held out as its
-text is '' (crc32 0). With no usable labels (no toxic or no clean row) the built-in seed weights are used. Repeated rows get equal scores; extra columns are ignored.
+Defined cases: a null or empty text has no match and gets the score of an empty text. A null id counts as the
+text '' (crc32 0), so it is not held out, but no label names it. Of different labels of one id the largest counts, of different texts of one id the
+smallest (training only). With no usable labels (no toxic or no clean row) the built-in seed weights are used. Repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornloom.llm._shared import light_batches
+from hornloom.llm._shared import slices
 
 #: Production parameters.
 SAMPLE, MIN_TOXIC, MIN_SHARE, MIN_ODDS, MIN_RATIO, MIN_TERM, MAX_START, MAX_TERMS, L1, LEAST_WEIGHT, CUT = 5_000, 5, 0.02, 3.0, 1, 3, 8, 600, 0.001, 0.3, 0.7
@@ -256,15 +257,14 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
 def _score(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = build(model)
-        for f in frames:
+        for f in slices(frames):
             out = []
             for t in f["text"]:
                 folded = fold(t if isinstance(t, str) else None)
                 total, density = _features(matches(automaton, folded), folded)
                 z = model.bias + model.total * total + model.density * density
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            f["score"] = out
-            yield f.drop(columns=["text"])
+            yield f.drop(columns=["text"]).assign(score=out)
 
     return run
 
@@ -275,16 +275,16 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Trains on the labelled rows that are not held out, at most `sample` of them by the order of a hash of the id."""
-    chosen = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).select(key, F.col(label).alias("_y")).dropDuplicates([key])
+    chosen = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)  # `sample` ids at most: bounded, so broadcast
-    texts = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key)
+    # Of rows with one id the smallest text is taken, so repeated ids don't exceed the bound.
+    texts = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
     # `sample` texts at most reach the driver.
     return train(sorted(((r["_t"], r["_y"]) for r in texts.select("_t", "_y").collect()), key=lambda r: (r[1], r[0] or "")))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
     """key, held_out, score, predicted for each row."""
-    light_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     s = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(_score(model), f"key {kind}, score double")
     return s.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
@@ -296,7 +296,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the cut; only the text travels to Python."""
-    light_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -156,13 +156,23 @@ def test_near_duplicates_defined_cases(spark):
     one = minhash_dedup.keep_one(docs(spark, CASES), width=3, num=85, den=100)
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in one.collect()) == [(False, 0), *((True, i) for i in (1, 3, 4, 5, 6, 7, 8, 9))]
     assert minhash_dedup.near_duplicates(docs(spark, [])).collect() == []
+    assert minhash_dedup.keep_one(docs(spark, [])).collect() == []
+
+
+def test_rows_with_one_id_are_judged_each_by_its_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, "more " + b), (7, c), (3, c), (4, None), (4, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs(spark, rows), 3, 85, 100).collect()}
+    assert got == {(5, 58, 5), (6, 59, 5), (7, 59, 5), (7, 58, 3), (3, 58, 3), (4, 0, 4)}
+    kept = minhash_dedup.keep_one(docs(spark, rows), width=3, num=85, den=100)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (5, b), (3, c), (4, None), (4, "")], key=str)
 
 
 def test_keep_one_compares_rows_without_an_id(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
-    rows = [(5, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, "more " + b), (None, None), (None, ""), (9, "another text of a few words"), (2**63 - 2, "at the upper end")]
-    # A row with an id stays where numbers above all ids are left.
-    for some, stays in ((rows, [None]), (rows[:-1], [5]), (rows[3:6], [])):
+    rows = [(5, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, "more " + b), (None, None), (None, ""), (9, "another text of a few words"), (2**63 - 1, "at the upper end")]
+    # A row with an id stays before rows without one.
+    for some, stays in ((rows, [5]), (rows[1:], [None]), (rows[3:6], [])):
         got = [(r.doc_id, r.text) for r in minhash_dedup.keep_one(docs(spark, some).repartition(3), width=3, num=85, den=100).collect()]
         assert [i for i, t in got if "a0" in (t or "")] == stays and sum("b0" in (t or "") for _, t in got) == 1
         alone = lambda pairs: sorted((i or 0, t or "") for i, t in pairs if not {"a0", "b0"} & set((t or "").split()))
