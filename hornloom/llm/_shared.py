@@ -23,13 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
     """Tables of one run, written as Parquet in the shared folder.
 
     settle() cuts the lineage, and the files outlive a lost executor; readers push filters and columns down to them. The shuffle files of the
-    write go at once (they can't be read again), and drop() removes a table when all that follows from it is written.
+    write go at once (they can't be read again), Python workers get few rows at a time, and drop() removes a table when all that follows from it is written.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -39,12 +40,17 @@ class Scratch:
 
     def settle(self, df: DataFrame, what: str) -> DataFrame:
         self.paths[what] = path = f"{self.folder}/{what}-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        conf, during = self.spark.conf, {CLEANUP: "true", BATCH: "2000"}
+        before = {name: conf.get(name) for name in during}
+        if 0 < int(before[BATCH]) < int(during[BATCH]):
+            during[BATCH] = before[BATCH]
+        for name, value in during.items():
+            conf.set(name, value)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for name, value in before.items():
+                conf.set(name, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -1,13 +1,15 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM estimates their reliabilities and trains a span classifier.
 
 Candidates are the base spans (strict pattern and check; these always stay) and looser forms of each kind: e-mail addresses with
-bracketed or spelt-out signs, defanged addresses, card numbers of other lengths or separators, national telephone numbers. Four labelers vote yes, no or abstain:
-pattern (check digit, ranges), gazetteer (known endings, issuer prefixes, reserved networks), context (cue and counter-cue words before
-the span) and borders (glued to letters or digits). Votes are counted per kind over all candidates of the corpus; a vote pattern is one of
-3**4, so EM runs on a table of at most 324 rows, as one SQL expression. The posteriors are soft labels that train a naive Bayes classifier over span features (form, borders, length,
-hashed word before), whose tables are bounded as well. Looser spans that the classifier accepts are added.
+bracketed or spelt-out signs, defanged addresses, card numbers with other separators or inside a longer run of digits whose match failed the check (a number
+or an address stands next to it), telephone numbers without a country code or inside such a run. Four labelers vote yes, no or abstain: pattern (check digit,
+ranges), gazetteer (known endings, issuers' prefixes, reserved networks, calling codes), context (cue and counter-cue words before the span) and borders
+(glued to letters or digits). Votes and features are counted over all candidates of the corpus. A vote pattern is one of 3**4, so EM runs on a table
+of at most 324 rows, as one SQL expression. The posteriors are soft labels that train a naive Bayes classifier over span features (form, borders,
+length, hashed word before), whose tables are bounded as well. Looser spans that the classifier accepts are added.
 
-Everything is DataFrame expressions; texts are scanned once and never shuffled. The model is one row, broadcast to all rows of candidates.
+Everything is DataFrame expressions. Texts are scanned twice, once for the counts and once for the result, and never written or shuffled: finding and
+redacting are projections, with the model as one broadcast row.
 
 Defined cases: a null or empty text has no spans (its digest is that of the empty string). Offsets count code points, end exclusive. Repeated rows get
 equal spans; ids take no part, so rows with a null id or with the id of another row have the spans of their own text. Added spans do not overlap base spans. Without candidates nothing is added. Extra columns are
@@ -19,17 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornloom.llm._shared import settle
+from hornloom.llm._shared import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns. Possessive where nothing needs to be given back, so that long runs cost no stack; a match starts at the
-#: start of a run of its characters or where the last match ended, which changes no match and keeps the search linear.
+#: start of a run of its characters or where the last match ended, which changes no match and keeps the search linear. A card's run of digits is only taken from 16 on, as shorter ones fail the check.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: The looser forms.
@@ -37,11 +39,17 @@ _AT, _DOT = r"\x20?[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]\x20?", r"\x20?[\[({<]\x20
 LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:{_AT}[A-Za-z0-9-]{{1,63}}+(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}+){{1,8}}+|\x20at\x20[A-Za-z0-9-]{{1,63}}+(?:\x20dot\x20[A-Za-z0-9-]{{1,63}}+){{1,8}}+)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9.-])(?:[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9.-])(?:[0-9]{4}([\x20./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9+.(-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
-#: Gazetteers and context words.
+#: Gazetteers (endings of domains, issuers' prefixes of card numbers, calling codes, first parts of addresses that name no host) and context words.
 ENDINGS = ["com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "uk", "eu", "us", "ca", "ch", "at", "it", "nl", "example", "test"]
+ISSUERS = ["4", "51", "52", "53", "54", "55", *map(str, range(2221, 2721)), "34", "37", "6011", "644", "645", "646", "647", "648", "649", "65", *map(str, range(3528, 3590)), "62"]
+CALLING = [
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "354", "358", "359", "370", "371", "372", "380", "385", "386", "420", "421", "852", "886", "971", "972",
+]
+NO_HOST = ["0", "10", "127", *map(str, range(224, 256))]
 CUES = {
     "email": r"(?i)(e-?mail|mail|contact|write|reach|courriel|correo|schreib)",
     "ip": r"(?i)(\bip\b|address|server|host|ping|login|adresse)",
@@ -93,21 +101,27 @@ def _numbered(i: int):
     return lambda s: F.struct(F.lit(i).alias("kind"), s.start.alias("start"), s.end.alias("end"))
 
 
+def _listed(x: Column, names: list[str]) -> Column:
+    """Whether a gazetteer has x; one literal, however long."""
+    return F.contains(F.lit(f" {' '.join(names)} "), F.concat(F.lit(" "), x, F.lit(" ")))
+
+
 def votes(kind: str, x: Column, before: Column, after: Column) -> list[Column]:
     """1, 0 or -1 (abstains) of each labeler."""
     d = _digits(x)
+    begin = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.left(d, i))
     if kind == "email":
         last = F.lower(F.regexp_extract(x, r"([A-Za-z0-9-]+)$", 1))
-        pattern, gazetteer = F.when(last.rlike(r"^[a-z]{2,}$"), 1).otherwise(0), F.when(last.isin(ENDINGS), 1).when(F.length(last) < 2, 0).otherwise(-1)
+        pattern, gazetteer = F.when(last.rlike(r"^[a-z]{2,}$"), 1).otherwise(0), F.when(_listed(last, ENDINGS), 1).when(F.length(last) < 2, 0).otherwise(-1)
     elif kind == "ip":
         first = F.regexp_extract(x, "^[0-9]+", 0)
         pattern = F.when(_small_parts(F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))), 1).otherwise(0)
-        gazetteer = F.when(first.isin("0", "255", "127"), 0).when(first.try_cast("int").between(1, 223), 1).otherwise(-1)
+        gazetteer = F.when(_listed(first, NO_HOST), -1).otherwise(1)
     elif kind == "card":
-        pattern, gazetteer = F.when(luhn(d), 1).otherwise(0), F.when(d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"), 1).otherwise(0)
+        pattern, gazetteer = F.when(luhn(d), 1).otherwise(0), F.when(F.exists(begin(4), lambda b: _listed(b, ISSUERS)), 1).otherwise(0)
     else:
         pattern = F.when(F.length(d).between(8, 15), 1).otherwise(0)
-        gazetteer = F.when(x.startswith("+") & ~x.startswith("+0"), 1).when(d.rlike("^[2-9][0-9]{2}[2-9]"), 1).otherwise(0)
+        gazetteer = F.when(x.startswith("+"), F.when(F.exists(begin(3), lambda b: _listed(b, CALLING)), 1).otherwise(0)).when(d.rlike("^[2-9][0-9]{2}[2-9]"), 1).otherwise(-1)
     context = F.when(before.rlike(COUNTER_CUES), 0).when(before.rlike(CUES[kind]), 1).otherwise(-1)
     glued = before.rlike(r"[\p{L}0-9_]$") | after.rlike(r"^[\p{L}0-9_]")
     return [pattern, gazetteer, context, F.when(glued, 0).otherwise(1)]
@@ -171,7 +185,7 @@ def reliabilities(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Dawid-Skene EM with abstentions on the counts of vote patterns, as one expression per kind.
     """
-    counts = candidates.groupBy("kind", "votes").agg(F.count("*").alias("n"))
+    counts = candidates.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("kind").agg(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))).alias("rows"))  # at most 3**LABELERS entries
     fields = ["p"] + [f"{c}_{i}" for i in range(LABELERS) for c in ("yes", "no")]
     start = F.struct(F.lit(0.7).alias("p"), *(F.lit(0.8 if c == "yes" else 0.3).alias(f"{c}_{i}") for i in range(LABELERS) for c in ("yes", "no")))
@@ -214,15 +228,26 @@ def posterior(v: Column, a: Column) -> Column:
     return true / (true + false)
 
 
+def counted(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+    """kind, votes, features, n: the candidates of all texts, counted."""
+    # Written first: a reader of single fields would make Spark compute the whole scan once for each field.
+    found = scratch.settle(scan(docs.select(F.lit(0).alias("_pii_key"), F.col(text)), "_pii_key", text).select("candidates"), "pii-candidates")
+    counts = found.where(F.size("candidates") > 0).select(F.inline("candidates")).groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
+    counts = scratch.settle(counts, "pii-counts")
+    scratch.drop("pii-candidates")
+    return counts
+
+
 def learned(candidates: DataFrame) -> DataFrame:
-    """One row with `_model`: for each kind, the labelers' reliabilities r and the naive Bayes weights of the span features."""
+    """From the counted candidates one row with `_model`: for each kind, the labelers' reliabilities r and the naive Bayes weights of the span features."""
     # All tables that are broadcast here have one row per kind, or per kind and feature value (at most KINDS x (HASHED + 60)).
     rates = reliabilities(candidates)
     rates = rates.select("kind", F.struct(*(c for c in rates.columns if c != "kind")).alias("r"))
     soft = candidates.join(F.broadcast(rates), "kind").withColumn("g", posterior(F.col("votes"), F.col("r"))).drop("r")
-    each = soft.select("kind", "g", F.explode("features").alias("feature"))
-    table = each.groupBy("kind", "feature").agg((F.sum("g") + 1.0).alias("t"), (F.sum(1 - F.col("g")) + 1.0).alias("f"))
-    total = soft.groupBy("kind").agg((F.sum("g") + 1.0).alias("kt"), (F.sum(1 - F.col("g")) + 1.0).alias("kf"))
+    soft = soft.select("kind", "features", (F.col("g") * F.col("n")).alias("g"), ((1 - F.col("g")) * F.col("n")).alias("h"))
+    each = soft.select("kind", "g", "h", F.explode("features").alias("feature"))
+    table = each.groupBy("kind", "feature").agg((F.sum("g") + 1.0).alias("t"), (F.sum("h") + 1.0).alias("f"))
+    total = soft.groupBy("kind").agg((F.sum("g") + 1.0).alias("kt"), (F.sum("h") + 1.0).alias("kf"))
     evidence = table.join(F.broadcast(total), "kind").groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.log((F.col("t") / F.col("kt")) / (F.col("f") / F.col("kf"))).alias("w")))).alias("weights"))
     model = evidence.join(F.broadcast(rates), "kind").select("kind", F.struct("r", "weights").alias("m"))
     return model.agg(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("_model"))
@@ -245,10 +270,12 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and span_list for each row."""
-    scanned = settle(scan(docs, key, text), "pii")
-    model = learned(scanned.where(F.size("candidates") > 0).select(F.inline("candidates")))
+    scratch = Scratch(docs.sparkSession)
+    model = scratch.settle(learned(counted(docs, scratch, text)), "pii-model")
+    scratch.drop("pii-counts")
+    # One row with a few hundred numbers.
     # Each row is judged from its own candidates: no join on the key, which may be null or repeated.
-    d = scanned.crossJoin(F.broadcast(model))
+    d = scan(docs, key, text).crossJoin(F.broadcast(model))
     taken = F.filter("candidates", lambda s: (s.loose == 1) & (chance(s, F.col("_model")) >= accept))
     d = d.withColumn("_added", F.transform(taken, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))).drop("candidates", "_model")
     count = lambda i: F.size(F.filter("base", lambda s: s.kind == i)).cast("long")

@@ -87,6 +87,20 @@ def test_pii_rows_with_null_or_repeated_ids_are_redacted_from_their_own_text(spa
     assert pii_weak.redact(docs(spark, [])).collect() == []
 
 
+def test_pii_adds_numbers_from_failed_runs(spark):
+    digit = lambda n: (10 - sum(int(c) if i % 2 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(str(n)[::-1]))) % 10
+    cards = [f"{n}{digit(n)}" for n in range(411111111111111, 411111111111111 + 90 * 7, 7)]
+    rows = [(i, f"some words {c} and more +1 (555) 123-{1000 + i} words") for i, c in enumerate(cards[:60])]
+    rows += [(100 + i, f"code {9000000000000000 + 7 * i} ends" if digit((9000000000000000 + 7 * i) // 10) != (9000000000000000 + 7 * i) % 10 else "nothing") for i in range(40)]
+    rows += [(200 + i, f"words {c} 27.65.93.{i} words") for i, c in enumerate(cards[60:80])]
+    rows += [(300 + i, f"call +1 (555) 777-{2000 + i} 190.137.223.204 now") for i in range(10)]
+    by_id = {r.doc_id: r for r in pii_weak.find(docs(spark, rows)).collect()}
+    lost = [i for i in range(20) if digit(int(cards[60 + i] + "2")) != 7]  # the others are numbers with the address's first digits
+    assert len(lost) > 10 and all((by_id[200 + i].n_card, by_id[200 + i].n_added, by_id[200 + i].spans) == (0, 1, f"ip:23:{32 + len(str(i))},card:6:22") for i in lost)
+    assert all((by_id[300 + i].n_phone, by_id[300 + i].spans) == (0, "ip:23:38,phone:5:22") for i in range(10))
+    assert all(by_id[100 + i].n_added == 0 for i in range(40)) and all(by_id[i].n_added == 0 and by_id[i].n_card == 1 for i in range(60))
+
+
 def test_pii_empty_table(spark):
     assert pii_weak.find(docs(spark, [])).collect() == []
 
