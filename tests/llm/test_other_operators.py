@@ -123,6 +123,19 @@ def test_revisits_equal_brute_force(spark):
         assert {x.record_id: (x.status, x.response_id) for x in got} == want and len(got) == len(want)
 
 
+def test_a_hot_url_is_cut_by_its_captures(spark):
+    # Half of the captures come in a burst.
+    rows = [(i, "revisit" if i % 3 else "response", "http://hot/", i if i < 200 else 1000 + i // 20, 200, f'"{i // 3 % 5}"', None, {}, str(i // 3 % 5), "", "") for i in range(400)]
+    rows += [(1000, "revisit", None, 5, 304, None, None, {}, None, "", ""), (1001, "revisit", "http://hot/", None, 304, None, None, {}, None, "", ""), (1002, "response", None, 1, 200, None, None, {}, "x", "", "")]
+    df = spark.createDataFrame(rows, RECORD)
+    cuts = warc_revisits._cuts(df.where("uri is not null and time is not null").withColumn("canonical_uri", F.col("uri")), 20).collect()
+    assert len(cuts) == 1 and 10 <= len(cuts[0]["_cuts"]) <= 19
+    want = brute_revisits(rows, {"http://hot/": "hot", None: None})
+    for chunk in (20, 4096):
+        got = warc_revisits.resolve(df, chunk).collect()
+        assert {x.record_id: (x.status, x.response_id) for x in got} == want and len(got) == len(want)
+
+
 def test_revisit_merges_permitted_headers(spark):
     rows = [
         (1, "response", "http://a/", 1, 200, '"t"', None, {"ETag": '"t"', "Content-Type": "html", "Date": "d1"}, "body", "", ""),

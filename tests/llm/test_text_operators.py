@@ -335,6 +335,26 @@ def test_shards_are_full_and_gapless(spark, shards):
     assert ring_shards.place(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shards", [1, 2, 7])
+def test_shards_equal_a_walk_of_single_rows(spark, shards):
+    cells, nodes, rows = 64, 5, [*CASES, *((100 + i, f"text {i % 40}") for i in range(150)), *((500 + i, "one group of copies") for i in range(90))]
+    d = docs(spark, rows)
+    cell_of = ring_shards.keys(d, cells, 8, "doc_id", "text").select("text_crc32", "_cell").distinct().collect()
+    cell_of = {r.text_crc32: r["_cell"] for r in cell_of}
+    places = ring_shards.ring(shards, nodes, cells)
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    want = Counter()
+    for crc in sorted((zlib.crc32((t or "").encode()) for _, t in rows), key=cell_of.get):
+        at = next((k for k, (c, _) in enumerate(places) if c >= cell_of[crc]), 0)
+        while not room[places[at % len(places)][1]]:
+            at += 1
+        shard = places[at % len(places)][1]
+        room[shard] -= 1
+        want[cell_of[crc], shard] += 1
+    got = ring_shards.place(d, shards, nodes, cells, 8).collect()
+    assert Counter((cell_of[r.text_crc32], r.shard) for r in got) == want
+
+
 def test_few_rows_move_when_a_shard_is_added():
     r = np.random.default_rng(1)
     counts = {c: int(n) for c, n in enumerate(r.poisson(20, 4096))}
@@ -346,7 +366,7 @@ def test_few_rows_move_when_a_shard_is_added():
         return out
 
     a, b = owner(24), owner(25)
-    assert a.keys() == b.keys() and sum(a[k] != b[k] for k in a) < 0.3 * len(a)
+    assert a.keys() == b.keys() and sum(a[k] != b[k] for k in a) < 0.15 * len(a)
 
 
 # -- pieces ----------------------------------------------------------------------------------------------------------
