@@ -40,7 +40,7 @@ class Scratch:
 
     def settle(self, df: DataFrame, what: str) -> DataFrame:
         self.paths[what] = path = f"{self.folder}/{what}-{uuid.uuid4().hex}"
-        conf, during = self.spark.conf, {CLEANUP: "true", BATCH: "2000"}
+        conf, during = self.spark.conf, {CLEANUP: "true", BATCH: "1000"}
         before = {name: conf.get(name) for name in during}
         if 0 < int(before[BATCH]) < int(during[BATCH]):
             during[BATCH] = before[BATCH]
@@ -64,6 +64,12 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return Scratch(df.sparkSession).settle(df, what)
 
 
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers of this session take at most so many rows at once. For whole applications (queries, the pipeline); operators leave the session alone."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def slices(batches: Iterable, rows: int = 1000) -> Iterator:
     """Arrow batches or pandas frames in parts of at most so many rows: bounds what a Python worker makes of them at once."""
     for b in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornloom.llm import minhash_dedup, pfair_mixing, piece_sampling, pii_weak, quality_rules, ring_shards, topk_search, toxicity, url_rules, warc_revisits
-from hornloom.llm._shared import table
+from hornloom.llm._shared import light_batches, table
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -49,6 +50,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"))
 
 
