@@ -183,6 +183,30 @@ QUERIES: dict[str, Query] = {
     "e8_has_key": Query(("parts", "part_names", "brands", "part_types"), "HasKey(:Part () (:name :brand :ptype))", f"SELECT {_n('part', 'a.p_partkey')} AS s, {_c(SAME_AS)} AS p, {_n('part', 'b.p_partkey')} AS o FROM {_KEYED}"),
     "e12_i8_different": Query(("hashes",), "InverseFunctionalObjectProperty(:contentHash) DLSafeRule(Body(ObjectPropertyAtom(:contentHash Variable(:x) Variable(:h)) ObjectPropertyAtom(:contentHash Variable(:y) Variable(:h)) SameIndividualAtom(Variable(:x) Variable(:y))) Head(DifferentIndividualsAtom(Variable(:x) Variable(:y))))",
         _violation("DifferentIndividuals", _TWINS, f"least({_n('document', 'a.doc_id')}, {_n('document', 'b.doc_id')})", f"greatest({_n('document', 'a.doc_id')}, {_n('document', 'b.doc_id')})"), "violations"),
+    "n04_equivalent_n06_disjoint_union": Query(("segments",), "EquivalentClasses(<urn:t:segment/BUILDING> :Builder) DisjointUnion(:Known <urn:t:segment/MACHINERY> <urn:t:segment/HOUSEHOLD>)",
+        _row(_CUST, TYPE, _c("Builder"), "customer WHERE c_mktsegment = 'BUILDING'") + " UNION ALL " + _row(_CUST, TYPE, _c("Known"), "customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')")),
+    "n09_n10_equivalent_properties": Query(("nations", "brands"), "EquivalentObjectProperties(:locatedIn :within) EquivalentDataProperties(:brand :make)",
+        _row(_NATION, "within", _REGION, "nation") + " UNION ALL " + _row(_n("part", "p_partkey"), "make", "'\"' || p_brand || '\"'", "part")),
+    "n19_n22_annotation_properties": Query(("brands",), "SubAnnotationPropertyOf(:brand :tag) AnnotationPropertyDomain(:tag :Tagged)",
+        _row(_n("part", "p_partkey"), "tag", "'\"' || p_brand || '\"'", "part") + " UNION ALL " + _row(_n("part", "p_partkey"), TYPE, _c("Tagged"), "part")),
+    "n20_data_domain_s24_literal_types": Query(("brands",), "DataPropertyDomain(:brand :Branded) SubClassOf(DataSomeValuesFrom(:brand <http://www.w3.org/2001/XMLSchema#string>) :Named) SubClassOf(DataSomeValuesFrom(:brand <http://www.w3.org/2001/XMLSchema#integer>) :Numbered)",
+        " UNION ALL ".join(_row(_n("part", "p_partkey"), TYPE, _c(x), "part") for x in ("Branded", "Named"))),
+    "n23_same_individual_e3": Query(("nations",), "SameIndividual(<urn:t:region/0> <urn:t:region/1>)",
+        f"WITH e(a, b) AS (VALUES (0, 1), (1, 0)) SELECT {_n('region', 'a')} AS s, {_c(SAME_AS)} AS p, {_n('region', 'b')} AS o FROM e UNION ALL " + _row(_NATION, "locatedIn", _n("region", "b"), "nation JOIN e ON n_regionkey = a")),
+    "n24_different_individuals": Query(("nations",), "SameIndividual(<urn:t:nation/0> <urn:t:nation/1>) DifferentIndividuals(<urn:t:nation/0> <urn:t:nation/1> <urn:t:nation/2>)",
+        _violation("DifferentIndividuals", "nation a JOIN nation b ON a.n_nationkey = 0 AND b.n_nationkey = 1", _n("nation", "a.n_nationkey"), _n("nation", "b.n_nationkey")), "violations"),
+    "n26_negative_data": Query(("brands",), " ".join(f'NegativeDataPropertyAssertion(:brand <urn:t:part/{k}> "Brand#{b}{c}")' for k in (1, 2, 3) for b in range(1, 6) for c in range(1, 6)),
+        _violation("NegativeAssertion", "part WHERE p_partkey IN (1, 2, 3) AND regexp_full_match(p_brand, 'Brand#[1-5][1-5]')", _n("part", "p_partkey"), _c("brand"), "'\"' || p_brand || '\"'"), "violations"),
+    "n27_n28_n29_own_assertions_s23": Query(("nations",), 'ClassAssertion(:Hub <urn:t:region/0>) ObjectPropertyAssertion(:locatedIn <urn:t:region/0> :World) DataPropertyAssertion(:note <urn:t:region/0> "first") SubClassOf(:Hub :Place) SubDataPropertyOf(:note :label) TransitiveObjectProperty(:locatedIn)',
+        f"SELECT {_c('region/0')} AS s, {_c(TYPE)} AS p, {_c('Place')} AS o UNION ALL SELECT {_c('region/0')}, {_c('label')}, '\"first\"' UNION ALL " + _row(_NATION, "locatedIn", _c("World"), "nation WHERE n_regionkey = 0")),
+    "n32_disjoint_data_properties": Query(("brands",), "SubDataPropertyOf(:brand :mark) DisjointDataProperties(:brand :mark)",
+        _violation("DisjointProperties", "part", _n("part", "p_partkey"), "'\"' || p_brand || '\"'", _c("brand"), _c("mark")), "violations"),
+    "n43_union_one_of": Query(("segments", "nations"), "SubClassOf(ObjectUnionOf(<urn:t:segment/BUILDING> <urn:t:segment/MACHINERY>) :Either) SubClassOf(ObjectSomeValuesFrom(:locatedIn ObjectOneOf(<urn:t:region/1> <urn:t:region/2>)) :Chosen)",
+        _row(_CUST, TYPE, _c("Either"), "customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')") + " UNION ALL " + _row(_NATION, TYPE, _c("Chosen"), "nation WHERE n_regionkey IN (1, 2)")),
+    "i6_asymmetric_n35": Query(("nations",), "SubObjectPropertyOf(:locatedIn :near) SymmetricObjectProperty(:near) AsymmetricObjectProperty(:near)", _violation("Asymmetric", "nation", f"least({_NATION}, {_REGION})", f"greatest({_NATION}, {_REGION})", _c("near")), "violations"),
+    "e12_different_by_properties": Query(("hashes", "nations"), "SameIndividual(<urn:t:region/0> <urn:t:region/1>) ObjectPropertyAssertion(:avoids <urn:t:nation/0> <urn:t:region/0>) ObjectPropertyAssertion(:avoids <urn:t:nation/0> <urn:t:region/1>) DisjointObjectProperties(:locatedIn :avoids)",
+        "SELECT * FROM (" + _violation("DifferentIndividuals", "nation WHERE n_nationkey = 0 AND n_regionkey IN (0, 1)", _c("region/0"), _c("region/1")) + ") UNION ALL SELECT * FROM ("
+        + _violation("DisjointProperties", "nation, (VALUES (0), (1)) AS e(x) WHERE n_nationkey = 0 AND n_regionkey IN (0, 1)", _NATION, _n("region", "x"), _c("locatedIn"), _c("avoids")) + ")", "violations"),
     "i1_disjoint_classes": Query(("segments",), "SubClassOf(<urn:t:segment/BUILDING> :A) SubClassOf(<urn:t:segment/BUILDING> :B) DisjointClasses(:A :B :C)", _violation("DisjointClasses", "customer WHERE c_mktsegment = 'BUILDING'", _CUST, _c("A"), _c("B")), "violations"),
     "i2_complement": Query(("segments",), "SubClassOf(<urn:t:segment/BUILDING> :A) SubClassOf(:A ObjectComplementOf(<urn:t:segment/BUILDING>))", _violation("ComplementOf", "customer WHERE c_mktsegment = 'BUILDING'", _CUST, _c("A"), _c("segment/BUILDING")), "violations"),
     "i3_disjoint_properties": Query(("contains",), "SubObjectPropertyOf(:contains :has) DisjointObjectProperties(:contains :has)", _violation("DisjointProperties", "lineitem", _n("order", "l_orderkey"), _n("part", "l_partkey"), _c("contains"), _c("has")), "violations"),
