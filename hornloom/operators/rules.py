@@ -10,8 +10,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.operators.tables import FACT, among, id_of, small
-from hornloom.plans.compile import Rules, touched
+from hornloom.operators.tables import among, id_of, small
+from hornloom.plans.compile import Rules
 from hornloom.terms import TYPE
 
 TYPE_ID = id_of(TYPE)
@@ -37,7 +37,8 @@ class RuleTables:
         self.chains = {n: small(spark, rows, "q long, " + ", ".join(f"p{i} long" for i in range(n))) for n, rows in by_length.items()}
         self.chain_ids = {n: [sorted({r[1 + i] for r in rows}) for i in range(n)] for n, rows in by_length.items()}
         self.trans = sorted(map(id_of, rules.trans))
-        self.touched = sorted(map(id_of, touched(rules)))
+        #: Transitive properties whose facts no other rule derives; filled by the fixpoint where it starts from all facts.
+        self.pure: list[int] = []
         self.universal = sorted(map(id_of, rules.universal))
 
 
@@ -92,9 +93,18 @@ def intersection_rule(delta: DataFrame, known: DataFrame, t: RuleTables) -> Data
 
 
 def transitive_rule(delta: DataFrame, known: DataFrame, t: RuleTables) -> DataFrame:
-    """New facts joined with all facts on both sides, so path lengths double each round."""
+    """New facts joined with all facts, so path lengths double each round.
+
+    Of a pure property, the new facts are the pairs at the last round's distances, L at most, and all nearer pairs are known. A pair at a distance up to
+    2 L has a shortest path, and the beginning of length L of that path is new: so joining at its end finds every pair. Facts of other properties may be new at any
+    distance, so they join on both sides.
+    """
     d, k = _props(delta, t.trans, "ds", "dp", "do_"), _props(known, t.trans, "ks", "kp", "ko")
     ahead = d.join(k, (F.col("do_") == F.col("ks")) & (F.col("dp") == F.col("kp"))).select(F.col("ds").alias("s"), F.col("dp").alias("p"), F.col("ko").alias("o"))
+    mixed = sorted(set(t.trans) - set(t.pure))
+    if not mixed:
+        return ahead
+    d = _props(delta, mixed, "ds", "dp", "do_")
     back = d.join(k, (F.col("ds") == F.col("ko")) & (F.col("dp") == F.col("kp"))).select(F.col("ks").alias("s"), F.col("dp").alias("p"), F.col("do_").alias("o"))
     return ahead.unionByName(back)
 
@@ -130,7 +140,3 @@ def candidates(delta: DataFrame, known: DataFrame, t: RuleTables) -> list[tuple[
         if rows:
             out.append((name, rule(delta, known, t)))
     return out
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FACT)

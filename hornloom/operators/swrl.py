@@ -38,7 +38,11 @@ def _atom(facts: DataFrame, atom: tuple, same: DataFrame | None) -> DataFrame:
             rows = rows.where(F.col(column) == F.col(names[a[1]]))
         else:
             names[a[1]] = column
-    return rows.select(*(F.col(c).alias(v) for v, c in names.items())).distinct() if names else rows.select(F.lit(1).alias("_one")).limit(1)
+    if not names:
+        return rows.select(F.lit(1).alias("_one")).limit(1)
+    rows = rows.select(*(F.col(c).alias(v) for v, c in names.items()))
+    # Facts are distinct, and every column that is left out is fixed; only pairs of equals can repeat.
+    return rows.distinct() if kind == "same" else rows
 
 
 def _variables(atom: tuple) -> set[str]:

@@ -141,8 +141,3 @@ def compile_schema(s: Schema, sound: bool = False) -> Rules:
     r.active = [k for k, v in names.items() if v]
     r.stats = {k.replace("-", "_"): len(v) for k, v in names.items()} | {"disjoint_classes": len(r.disjoint), "complement": len(r.compl), "disjoint_properties": len(r.pdisjoint), "negative_assertions": len(r.neg), "max_cardinality_zero": len(r.mc0)}
     return r
-
-
-def touched(r: Rules) -> set[str]:
-    """The predicates whose facts join rules look up."""
-    return {*r.trans, *(p for _, c in r.chains for p in c), *(p for p, _, _ in r.svf), *(p for _, p, _ in r.avf)}

@@ -21,6 +21,8 @@ from hornloom.operators.tables import FACT, id_of, settle
 from hornloom.plans.compile import Rules
 
 COMPACT = 8
+#: Up to this many candidates Spark broadcasts them to the known facts (24 bytes each); beyond, the known facts are shuffled once.
+FEW = 400_000
 
 
 @dataclass
@@ -52,8 +54,9 @@ class _Store:
         cand = settle(cand.distinct(), "candidates", self.work_dir)
         k = self.known.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         on = (F.col("ks") == F.col("s")) & (F.col("kp") == F.col("p")) & (F.col("ko") == F.col("o"))
-        met = k.join(cand, on, "left_semi")
-        delta = settle(cand.join(met, on, "left_anti"), "delta", self.work_dir)
+        if cand.count() <= FEW:
+            k = k.join(cand, on, "left_semi")
+        delta = settle(cand.join(k, on, "left_anti"), "delta", self.work_dir)
         n = delta.count()
         if n:
             self.parts.append(delta)
@@ -78,6 +81,9 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
     tables = RuleTables(spark, rules)
     out = Outcome(asserted, asserted, None)
     with_equality = bool(rules.same or rules.fp or rules.ifp or rules.mc1 or rules.keys) or any(h[0] == "same" for _, h in rules.swrl) or not store.known.where(F.col("p") == swrl.SAME_ID).isEmpty()
+    if before is None and not with_equality and not rules.swrl:
+        heads = {r[3] for r in rules.by_property} | {r[1] for r in rules.by_class} | {q for q, _ in rules.chains}
+        tables.pure = sorted(id_of(p) for p in rules.trans if p not in heads)
     same: DataFrame | None = None
     merged = 0
 

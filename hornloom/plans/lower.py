@@ -6,7 +6,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 from itertools import permutations
 
-from hornloom.terms import PROXY, datatype_of, is_literal
+from hornloom.terms import PROXY
 
 #: Constructors that a position can use.
 _SUPER = {"ObjectIntersectionOf", "ObjectAllValuesFrom", "ObjectHasValue", "ObjectMaxCardinality", "ObjectComplementOf", "DataAllValuesFrom", "DataHasValue", "DataMaxCardinality"}
@@ -352,7 +352,3 @@ def lower(axioms: list[tuple], ignore_annotations: bool = False) -> Schema:
     for ax in axioms:
         low.axiom(ax)
     return low.s
-
-
-def literal_types(terms: list[str]) -> list[tuple[str, str]]:
-    return [(t, datatype_of(t)) for t in terms if is_literal(t)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hornloom.operators import checks, equality
 from hornloom.operators.dictionary import build, decode, encode
 from hornloom.operators.swrl import DIFFERENT, DIFFERENT_ID, SAME_ID
-from hornloom.operators.tables import id_of, is_literal_id, settle
+from hornloom.operators.tables import id_of, is_literal_id, settle, small
 from hornloom.plans.compile import Rules, compile_schema
 from hornloom.plans.fixpoint import Outcome, materialize
 from hornloom.plans.lower import Schema, lower
@@ -54,10 +54,11 @@ class Result:
 
     def _shown(self, facts: DataFrame) -> DataFrame:
         """Facts fit for output as text: no proxies, no literal subjects, no internal predicates."""
-        hidden = [id_of(x) for x in self.schema.display]
         x = facts.where(~is_literal_id(F.col("s")) & (F.col("p") != DIFFERENT_ID))
-        if hidden:
-            x = x.where(~F.col("s").isin(hidden) & ~F.col("p").isin(hidden) & ~F.col("o").isin(hidden))
+        if self.schema.display:
+            hidden = small(self.spark, [(id_of(t),) for t in self.schema.display], "hidden long")
+            for c in "spo":
+                x = x.join(hidden, F.col(c) == F.col("hidden"), "left_anti")
         return decode(x, self.dictionary)
 
     def _equal_pairs(self) -> DataFrame | None:

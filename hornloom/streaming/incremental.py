@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hornloom.operators import checks
 from hornloom.operators.dictionary import build, encode
 from hornloom.operators.tables import settle
 from hornloom.plans.compile import compile_schema
@@ -32,15 +33,26 @@ class IncrementalReasoner:
         triples = asserted(triples, self.schema, own=self.outcome is None)
         new = build(triples, self.given)
         if self.dictionary is not None:
-            new = new.unionByName(self.dictionary).groupBy("id").agg(F.min("term").alias("term"))
+            both = new.unionByName(self.dictionary).groupBy("id").agg(F.min("term").alias("term"), F.max("term").alias("other"))
+            clash = F.raise_error(F.concat(F.lit("two terms of different batches share an id: "), F.col("term"), F.lit(" "), F.col("other")))
+            new = both.select("id", F.when(F.col("term") == F.col("other"), F.col("term")).otherwise(clash).alias("term"))
         self.dictionary = settle(new, "dictionary", o.work_dir)
         before = self.outcome.known if self.outcome else None
         self.outcome = materialize(self.spark, encode(triples), self.rules, o.max_rounds, o.work_dir, before=before)
         return self.outcome
 
+    def _result(self) -> Result:
+        return Result(self.spark, self.outcome, self.dictionary, self.schema, self.rules, self.options)
+
     def closure(self) -> DataFrame:
         """All triples so far, as text, as reason() gives them."""
-        return Result(self.spark, self.outcome, self.dictionary, self.schema, self.rules, self.options).closure()
+        return self._result().closure()
+
+    def inconsistencies(self) -> DataFrame:
+        """All violations so far, as text, as reason() gives them."""
+        result = self._result()
+        result.violations = settle(checks.violations(self.outcome.known, self.rules, self.outcome.label), "violations", self.options.work_dir)
+        return result.inconsistencies()
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Runs over a streaming frame of (s, p, o)."""

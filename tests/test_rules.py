@@ -151,6 +151,18 @@ def test_violations(spark):
         run(spark, {"irreflexive": VIOLATIONS["irreflexive"]}, inconsistency="halt")
 
 
+@pytest.mark.parametrize("cases", ["CASES", "VIOLATIONS"])
+def test_batches_give_what_one_run_gives(spark, cases):
+    cases = globals()[cases]
+    want = run(spark, cases)
+    data = [t for name, c in cases.items() for t in triples(c[0], name)]
+    r = IncrementalReasoner(spark, [a for name, c in cases.items() for a in axioms(c[1], name)])
+    for part in (data[::2], data[1::2]):
+        r.update(spark.createDataFrame(part, TRIPLES))
+    assert {tuple(x) for x in r.closure().collect()} == {tuple(x) for x in want.closure().collect()}
+    assert {tuple(x) for x in r.inconsistencies().collect()} == {tuple(x) for x in want.inconsistencies().collect()}
+
+
 def test_universal_and_limits(spark):
     cases = {"one": ("x p y; z a C", "SubClassOf(owl:Thing :U)", "")}
     got = {tuple(r) for r in run(spark, cases).inferred().collect()}
