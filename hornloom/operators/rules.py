@@ -23,9 +23,9 @@ class RuleTables:
     def __init__(self, spark: SparkSession, rules: Rules):
         self.rules, self.spark = rules, spark
         opt = lambda t: None if t is None else id_of(t)
-        self.by_property = small(spark, [(id_of(p), opt(v), s == "s", id_of(q), {"": 0, "s": 1, "o": 2}[o], id_of(c) if c else 0) for p, v, s, q, o, c in rules.by_property], "rp long, rv long, same_side boolean, np long, from_ int, const long")
+        self.by_property = small(spark, [(id_of(p), opt(v), s == "s", id_of(q), {"": 0, "s": 1, "o": 2}[o], id_of(c) if c else 0, rules.families[p, v, s, q, o, c]) for p, v, s, q, o, c in rules.by_property], "rp long, rv long, same_side boolean, np long, from_ int, const long, families array<string>")
         self.property_ids = sorted({id_of(r[0]) for r in rules.by_property})
-        self.by_class = small(spark, [tuple(map(id_of, r)) for r in rules.by_class], "rc long, np long, no long")
+        self.by_class = small(spark, [(*map(id_of, r), rules.families[r]) for r in rules.by_class], "rc long, np long, no long, families array<string>")
         self.class_ids = sorted({id_of(r[0]) for r in rules.by_class})
         self.svf = small(spark, [tuple(map(id_of, r)) for r in rules.svf], "rp long, rd long, rc long")
         self.avf = small(spark, [tuple(map(id_of, r)) for r in rules.avf], "ra long, rp long, rb long")
@@ -42,17 +42,24 @@ class RuleTables:
         self.universal = sorted(map(id_of, rules.universal))
 
 
+def _property_matches(delta: DataFrame, t: RuleTables) -> DataFrame:
+    d = among(delta.where(F.col("p") != TYPE_ID), "p", t.property_ids)
+    return d.join(t.by_property, d["p"] == F.col("rp")).where(F.col("rv").isNull() | (F.col("rv") == F.col("o")))
+
+
 def property_rules(delta: DataFrame, t: RuleTables) -> DataFrame:
     """Subproperty, domain, range, inverse, symmetric, has-value and existence: one broadcast join."""
-    d = among(delta.where(F.col("p") != TYPE_ID), "p", t.property_ids)
-    j = d.join(t.by_property, d["p"] == F.col("rp")).where(F.col("rv").isNull() | (F.col("rv") == F.col("o")))
-    return j.select(F.when(F.col("same_side"), F.col("s")).otherwise(F.col("o")).alias("s"), F.col("np").alias("p"), F.when(F.col("from_") == 0, F.col("const")).when(F.col("from_") == 1, F.col("s")).otherwise(F.col("o")).alias("o"))
+    return _property_matches(delta, t).select(F.when(F.col("same_side"), F.col("s")).otherwise(F.col("o")).alias("s"), F.col("np").alias("p"), F.when(F.col("from_") == 0, F.col("const")).when(F.col("from_") == 1, F.col("s")).otherwise(F.col("o")).alias("o"))
+
+
+def _class_matches(delta: DataFrame, t: RuleTables) -> DataFrame:
+    d = among(delta.where(F.col("p") == TYPE_ID), "o", t.class_ids)
+    return d.join(t.by_class, d["o"] == F.col("rc"))
 
 
 def class_rules(delta: DataFrame, t: RuleTables) -> DataFrame:
     """Subclass, has-value from a class, and intersection parts: one broadcast join."""
-    d = among(delta.where(F.col("p") == TYPE_ID), "o", t.class_ids)
-    return d.join(t.by_class, d["o"] == F.col("rc")).select("s", F.col("np").alias("p"), F.col("no").alias("o"))
+    return _class_matches(delta, t).select("s", F.col("np").alias("p"), F.col("no").alias("o"))
 
 
 def universal_rule(delta: DataFrame, t: RuleTables) -> DataFrame:
@@ -127,6 +134,14 @@ def chain_rule(delta: DataFrame, known: DataFrame, t: RuleTables) -> DataFrame:
     return out
 
 
+def firings(name: str, made: DataFrame, delta: DataFrame, t: RuleTables) -> list[tuple[str, int]]:
+    """(family, candidates) of what candidates() made under this name; the two folded tables are told apart by their rows' families."""
+    if name not in ("property", "class"):
+        return [(name, made.count())]
+    matches = _property_matches(delta, t) if name == "property" else _class_matches(delta, t)
+    return [(r["family"], r["count"]) for r in matches.select(F.explode("families").alias("family")).groupBy("family").count().collect()]
+
+
 def candidates(delta: DataFrame, known: DataFrame, t: RuleTables) -> list[tuple[str, DataFrame]]:
     """(family, candidates) of every family that has rules; others are not even planned."""
     r, out = t.rules, []

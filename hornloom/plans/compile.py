@@ -26,6 +26,8 @@ class Rules:
     svf: list[tuple[str, str, str]] = field(default_factory=list)
     avf: list[tuple[str, str, str]] = field(default_factory=list)
     conj: list[tuple[tuple[str, ...], str]] = field(default_factory=list)
+    #: The families that a row of by_property or by_class stands for.
+    families: dict[tuple, list[str]] = field(default_factory=dict)
     swrl: list[tuple[tuple, tuple]] = field(default_factory=list)
     fp: list[str] = field(default_factory=list)
     ifp: list[str] = field(default_factory=list)
@@ -72,51 +74,61 @@ def compile_schema(s: Schema, sound: bool = False) -> Rules:
     r.universal = sorted({b for a, b in sub if a == THING and b not in top})
     sub = {(a, b) for a, b in sub if a not in top and b not in top}
 
-    def action(p, v, subject, q, from_, const):
-        r.by_property.append((p, v, subject, q, from_, const))
+    def add(rows, family, *row):
+        rows.append(row)
+        if family not in r.families.setdefault(row, []):
+            r.families[row].append(family)
+
+    def action(family, *row):
+        add(r.by_property, family, *row)
 
     for p, q in sorted(subp):
-        action(p, None, "s", q, "o", "")
-    for p, q in sorted(s.inv | {(p, p) for p in s.sym}):
-        action(p, None, "o", q, "s", "")
+        action("subproperty", p, None, "s", q, "o", "")
+    for p, q in sorted(s.inv):
+        action("inverse", p, None, "o", q, "s", "")
+    for p in sorted(s.sym):
+        action("symmetric", p, None, "o", p, "s", "")
     for p, c in sorted(s.dom):
         if c not in top:
-            action(p, None, "s", TYPE, "", c)
+            action("domain", p, None, "s", TYPE, "", c)
     for p, c in sorted(s.rng):
         if c not in top:
-            action(p, None, "o", TYPE, "", c)
+            action("range", p, None, "o", TYPE, "", c)
     for p, v, c in sorted(s.hv_in):
         if c not in top:
-            action(p, v, "s", TYPE, "", c)
+            action("has-value", p, v, "s", TYPE, "", c)
     for p, d, c in sorted(s.svf):
         if c in top:
             continue
         if d in top:
-            action(p, None, "s", TYPE, "", c)
+            action("some-values-from", p, None, "s", TYPE, "", c)
         else:
             r.svf.append((p, d, c))
-    r.by_class += [(a, TYPE, b) for a, b in sorted(sub)]
-    hv_top, avf_top = [], []
+    for a, b in sorted(sub):
+        add(r.by_class, "subclass", a, TYPE, b)
+    avf_top = []
     for c, p, v in sorted(s.hv_out):
-        (hv_top if c in top else r.by_class).append((c, p, v))
+        if c not in top:
+            add(r.by_class, "has-value", c, p, v)
     for c, p, f in sorted(s.avf):
         if f not in top:
             (avf_top if c in top else r.avf).append((c, p, f))
     if sound:  # everything is a thing
         for _, p, f in avf_top:
-            action(p, None, "o", TYPE, "", f)
+            action("all-values-from", p, None, "o", TYPE, "", f)
     for parts, c, is_range in s.conj:
         rest = tuple(sorted({x for x in parts if x not in top}))
         if c not in top:
             if len(rest) == 1:
-                r.by_class.append((rest[0], TYPE, c))
+                add(r.by_class, "intersection", rest[0], TYPE, c)
             elif rest:
                 r.conj.append((rest, c))
             elif parts:
                 r.universal.append(c)
         # The reverse direction: right for data ranges; for classes only the compatible profile draws it.
         if (is_range or not sound) and c not in top:
-            r.by_class += [(c, TYPE, x) for x in rest]
+            for x in rest:
+                add(r.by_class, "intersection", c, TYPE, x)
     # A chain of the property itself makes it transitive, whatever its length.
     r.chains = [(q, chain) for q, chain in sorted(s.chains) if set(chain) != {q}]
     r.trans = sorted(s.trans | {q for q, chain in s.chains if set(chain) == {q}})
@@ -134,10 +146,18 @@ def compile_schema(s: Schema, sound: bool = False) -> Rules:
         for h in head:
             if all(a[1] in bound for a in h[1:] if isinstance(a, tuple)):
                 r.swrl.append((body, h))
+    predicates = {x[0] for x in r.by_property} | {x[0] for x in r.svf} | {x[1] for x in r.avf} | {p for _, chain in r.chains for p in chain} | {*r.trans, *r.fp, *r.ifp} | {x[1] for x in r.mc0 + r.mc1}
+    classes = {x[0] for x in r.by_class} | {x[1] for x in r.svf} | {x[0] for x in r.avf + r.mc0 + r.mc1} | {c for parts, _ in r.conj for c in parts}
     names = {
         "subclass-propagation": sub, "universal-type": r.universal, "subproperty-propagation": subp, "domain": s.dom, "range": s.rng, "inverse": s.inv, "symmetric": s.sym, "transitive": r.trans, "property-chain": r.chains, "has-value": s.hv_in | s.hv_out,
         "some-values-from": s.svf, "all-values-from": r.avf, "intersection": r.conj, "functional-property": r.fp, "inverse-functional-property": r.ifp, "max-cardinality": r.mc1, "has-key": r.keys, "swrl": r.swrl,
     }
     r.active = [k for k, v in names.items() if v]
-    r.stats = {k.replace("-", "_"): len(v) for k, v in names.items()} | {"disjoint_classes": len(r.disjoint), "complement": len(r.compl), "disjoint_properties": len(r.pdisjoint), "negative_assertions": len(r.neg), "max_cardinality_zero": len(r.mc0)}
+    # The names of the report's counters. The schema is closed by graph search, not in rounds.
+    r.stats = {
+        "subclass_closure_size": len(sub), "subproperty_closure_size": len(subp), "domain_entries": len(s.dom), "range_entries": len(s.rng), "inverse_entries": len(s.inv), "property_chains": len(r.chains),
+        "chain_trigger_entries": len({(p, q, chain) for q, chain in r.chains for p in chain}), "universal_types": len(r.universal), "has_value_rules": len(s.hv_in | s.hv_out), "some_values_from_rules": len(s.svf),
+        "all_values_from_rules": len(r.avf), "intersection_rules": len(r.conj), "max_cardinality_one_rules": len(r.mc1), "swrl_rules_compiled": len(r.swrl), "indexed_predicates": len(predicates), "indexed_classes": len(classes),
+        "proxy_terms": len(s.display), "schema_closure_iterations": 0, "schema_closure_inferred": 0,
+    }
     return r

@@ -7,6 +7,7 @@ Every round's facts are a Parquet table in the shared folder, so a lost executor
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornloom.operators import equality, swrl
-from hornloom.operators.rules import RuleTables, candidates
+from hornloom.operators.rules import TYPE_ID, RuleTables, candidates, firings
 from hornloom.operators.swrl import DIFFERENT_ID
 from hornloom.operators.tables import FACT, id_of, settle
 from hornloom.plans.compile import Rules
 
+log = logging.getLogger("hornloom")
+
 COMPACT = 8
 #: Up to this many candidates Spark broadcasts them to the known facts (24 bytes each); beyond, the known facts are shuffled once.
 FEW = 400_000
@@ -33,7 +36,10 @@ class Outcome:
     rounds: list[dict] = field(default_factory=list)
     equality_rounds: int = 0
     merges: int = 0
+    #: Candidates by rule family, and rounds that had candidates (known ones count too).
     candidates: dict[str, int] = field(default_factory=dict)
+    tries: int = 0
+    reached: bool = False
     seconds: float = 0.0
 
 
@@ -49,21 +55,21 @@ class _Store:
     def known(self) -> DataFrame:
         return _union(self.parts)
 
-    def fresh(self, cand: DataFrame) -> tuple[DataFrame, int]:
-        """The candidates that are new, kept, and their number."""
+    def fresh(self, cand: DataFrame) -> tuple[DataFrame, int, int]:
+        """The candidates that are new, kept; their number, and how many of them are types."""
         cand = settle(cand.distinct(), "candidates", self.work_dir)
         k = self.known.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         on = (F.col("ks") == F.col("s")) & (F.col("kp") == F.col("p")) & (F.col("ko") == F.col("o"))
         if cand.count() <= FEW:
             k = k.join(cand, on, "left_semi")
         delta = settle(cand.join(k, on, "left_anti"), "delta", self.work_dir)
-        n = delta.count()
+        n, types = delta.agg(F.count("*"), F.count_if(F.col("p") == TYPE_ID)).first()
         if n:
             self.parts.append(delta)
             if len(self.parts) > COMPACT:
                 # The parts are disjoint: merging them needs no distinct.
                 self.parts = [settle(_union(self.parts).hint("rebalance"), "facts", self.work_dir)]
-        return delta, n
+        return delta, n, types
 
 
 def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds: int | None = None, work_dir: str | None = None, count_candidates: bool = False, before: DataFrame | None = None) -> Outcome:
@@ -77,7 +83,7 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
         store = _Store(asserted, work_dir)
     else:
         store = _Store(before, work_dir)
-        asserted, _ = store.fresh(facts)
+        asserted, _, _ = store.fresh(facts)
     tables = RuleTables(spark, rules)
     out = Outcome(asserted, asserted, None)
     with_equality = bool(rules.same or rules.fp or rules.ifp or rules.mc1 or rules.keys) or any(h[0] == "same" for _, h in rules.swrl) or not store.known.where(F.col("p") == swrl.SAME_ID).isEmpty()
@@ -87,6 +93,17 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
     same: DataFrame | None = None
     merged = 0
 
+    def step(made: DataFrame) -> tuple[DataFrame, int]:
+        """One round; past the cap any candidate, new or known, is an error."""
+        if max_rounds is not None and out.tries >= max_rounds and not made.isEmpty():
+            raise RuntimeError(f"maximum iterations ({max_rounds}) reached before fixpoint")
+        delta, n, types = store.fresh(made)
+        out.tries += 1
+        if n:
+            out.rounds.append({"iteration": len(out.rounds) + 1, "new": n, "new_types": types, "new_properties": n - types})
+            log.debug("round %d: %d new facts, %d of them types", len(out.rounds), n, types)
+        return delta, n
+
     def inner(delta: DataFrame, whole: bool) -> None:
         """Rounds until nothing is new. whole: rules with equality atoms start over all facts."""
         n = 1
@@ -101,12 +118,9 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
                 return
             if count_candidates:
                 for name, x in made:
-                    out.candidates[name] = out.candidates.get(name, 0) + x.count()
-            delta, n = store.fresh(_union([x for _, x in made]))
-            if n:
-                out.rounds.append({"iteration": len(out.rounds) + 1, "new": n})
-                if max_rounds is not None and len(out.rounds) > max_rounds:
-                    raise RuntimeError(f"maximum iterations ({max_rounds}) reached before fixpoint")
+                    for family, count in firings(name, x, delta, tables):
+                        out.candidates[family] = out.candidates.get(family, 0) + count
+            delta, n = step(_union([x for _, x in made]))
 
     delta = asserted
     while True:
@@ -122,12 +136,12 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
         if not merged:
             break
         same = equality.members(label).where("id <> other").select(F.col("id").alias("s"), F.col("other").alias("o"))
-        delta, n = store.fresh(equality.expand(store.known, label))
+        delta, n, types = store.fresh(equality.expand(store.known, label))
         if not n and not changed:
             break
         if n:
-            out.rounds.append({"iteration": len(out.rounds) + 1, "new": n})
-    out.known = store.known
+            out.rounds.append({"iteration": len(out.rounds) + 1, "new": n, "new_types": types, "new_properties": n - types})
+    out.known, out.reached = store.known, True
     out.seconds = time.perf_counter() - began
     return out
 

@@ -51,6 +51,8 @@ class Result:
     options: Options
     violations: DataFrame | None = None
     report: dict = field(default_factory=dict)
+    #: Triples read, ontology and literal types included; repeated ones count.
+    triples: int = 0
 
     def _shown(self, facts: DataFrame) -> DataFrame:
         """Facts fit for output as text: no proxies, no literal subjects, no internal predicates."""
@@ -111,6 +113,19 @@ class Result:
         return x.select("kind", detail.alias("detail"))
 
 
+#: The names of the report's counters with the fields of the schema that they count, and those of rule families with ours.
+COUNTERS = {
+    "subclass_of": "sub", "sub_property_of": "subp", "domain": "dom", "range": "rng", "inverse_of": "inv", "symmetric_property": "sym", "transitive_property": "trans", "functional_property": "fp",
+    "inverse_functional_property": "ifp", "property_chain": "chains", "has_value": "hv_in hv_out", "some_values_from": "svf", "all_values_from": "avf", "intersection_of": "conj", "complement_of": "compl",
+    "one_of": "types", "max_cardinality_zero": "mc0", "max_cardinality_one": "mc1", "disjoint_classes": "disjoint", "disjoint_properties": "pdisjoint", "irreflexive_property": "irr", "asymmetric_property": "asym",
+    "has_key": "keys", "same_individual": "same", "different_individuals": "different", "negative_property_assertion": "neg", "swrl_rules": "swrl",
+}
+FIRINGS = {
+    "subclass": "subclass", "subproperty": "subproperty", "domain": "domain", "range": "range", "inverse": "inverse", "symmetric": "symmetric", "transitive": "transitive", "has_value": "has-value",
+    "some_values_from": "some-values-from", "all_values_from": "all-values-from", "intersection": "intersection", "universal_type": "universal", "property_chain": "property-chain", "swrl": "swrl",
+}
+
+
 def split_schema(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(schema triples, the others)."""
     is_schema = F.col("p").isin(SCHEMA_PREDICATES) | ((F.col("p") == TYPE) & F.col("o").isin(SCHEMA_CLASSES))
@@ -167,13 +182,13 @@ def reason(spark: SparkSession, triples: DataFrame, axioms: list[tuple] | None =
     counts = {r["kind"]: r["count"] for r in result.violations.groupBy("kind").count().collect()}
     result.report = {
         "version": 2,
-        "ontology": {k: len(v) for k, v in vars(schema).items() if isinstance(v, (set, list))},
+        "ontology": {"total_axioms": len(axioms)} | {shown: sum(len(getattr(schema, k)) for k in of.split()) for shown, of in COUNTERS.items()},
         "compiled": rules.stats,
         "rules": {"active": rules.active, "unsupported_encountered": dict(schema.unsupported), "residue": residue},
         "reasoning": {
             "strata": [{"name": "schema-closure", "iterations": 0, "inferred": 0, "time_ms": 0}, {"name": "abox-materialization", "iterations": len(outcome.rounds), "inferred": sum(r["new"] for r in outcome.rounds), "time_ms": int(outcome.seconds * 1000)}],
-            "iterations": outcome.rounds, "total_inferred": sum(r["new"] for r in outcome.rounds), "total_iterations": len(outcome.rounds), "fixpoint_reached": True,
-            "equality_merges": outcome.merges, "equality_iterations": outcome.equality_rounds, "rule_firings": outcome.candidates, "inconsistencies": counts,
+            "iterations": [{k: r[k] for k in ("iteration", "new_types", "new_properties")} for r in outcome.rounds], "total_inferred": sum(r["new"] for r in outcome.rounds), "total_iterations": outcome.tries, "fixpoint_reached": outcome.reached,
+            "equality_merges": outcome.merges, "equality_iterations": outcome.equality_rounds, "rule_firings": {k: outcome.candidates.get(own, 0) for k, own in FIRINGS.items()} if o.count_candidates else {}, "inconsistencies": counts,
         },
         "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024,
         "ingest_time_ms": int((ingested - began) * 1000),

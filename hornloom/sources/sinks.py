@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from hornloom.operators.tables import shared_dir
+
 
 def lines(triples: DataFrame) -> DataFrame:
     """One N-Triples line for each (s, p, o); fails on a predicate that is no IRI."""
@@ -17,17 +21,32 @@ def lines(triples: DataFrame) -> DataFrame:
 
 
 def write_ntriples(triples: DataFrame, path: str, single_file: bool = False) -> int:
-    """Writes a folder of part files, or one local file (streamed through the driver partition by partition). Returns the number of lines of a single file, else -1."""
-    text = lines(triples)
+    """Writes a folder of part files, or one local file. Returns the number of triples.
+
+    Executors write the parts either way; for a single file the driver's JVM appends them byte by byte from the shared folder and deletes them. Nothing is
+    left at the path if the parts fail.
+    """
+    written = Observation()
+    text = lines(triples).observe(written, F.count(F.lit(1)).alias("n"))
     if not single_file:
         text.write.mode("overwrite").text(path)
-        return -1
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        for r in text.toLocalIterator():
-            f.write(r["value"] + "\n")
-            n += 1
-    return n
+        return written.get["n"]
+    spark = triples.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
+    text.write.text(folder)
+    hadoop = spark._jvm.org.apache.hadoop
+    source = hadoop.fs.Path(folder)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = spark._jvm.java.io.FileOutputStream(os.path.abspath(path))
+    try:
+        for part in sorted(x.getPath().toString() for x in files.listStatus(source) if x.getPath().getName().startswith("part-")):
+            stream = files.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
+        files.delete(source, True)
+    return written.get["n"]
 
 
 def write_report(report: dict, path: str, inconsistencies: Iterable[dict] = ()) -> None:
