@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from heapq import heappop, heappush
+from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
     """(source, number of its block within the period) for each slot of one period."""
     total = sum(weights.values())
     if total > MAX_PERIOD or any(w < 1 for w in weights.values()):
-        raise ValueError("weights must be positive whole numbers with a sum of at most MAX_PERIOD")
+        raise ValueError("weights must be positive whole numbers whose sum, without common factors, is at most MAX_PERIOD")
     release = lambda s, j: (j - 1) * total // weights[s]
     due = lambda s, j: -(-j * total // weights[s])
     waiting = [(0, s, 1) for s in sorted(weights)]
@@ -74,6 +75,9 @@ def _placed(docs: DataFrame, weights: Mapping[str, int], block_rows: int, source
     # One row for each source comes to the driver; period() refuses more sources than a period may have slots.
     counts = {r["_mix_source"]: r["n"] for r in rows.groupBy("_mix_source").agg(F.count("*").alias("n")).collect()}
     shares = {s: int(weights.get(s, 1)) for s in counts}
+    # A common factor only repeats the same period.
+    common = gcd(*shares.values())
+    shares = {s: w // max(1, common) for s, w in shares.items()}
     slots = period(shares)
     total = len(slots)
     places: dict[str, list[int]] = {s: [0] * w for s, w in shares.items()}
