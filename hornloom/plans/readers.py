@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import json
 import lzma
 import os
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hornloom import cli
 from hornloom.operators.tables import shared_dir
 from hornloom.plans.reason import reason
 from hornloom.plans.relational import NS, Facts, name, ontology
@@ -129,8 +131,19 @@ def k1_k6_written_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_rdf(spark, f"{folder}/written/closure.nt")
 
 
+def a1_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's run over written files, with its report: the triples written and the report's counts as triples."""
+    folder = _folder(spark, {"in/a.nt": _lines(_nations(spark, sf_dir)), "in/o.ofn": _OFN})
+    args = cli.parser().parse_args(["reason", f"{folder}/in/a.nt", "-O", f"{folder}/in/o.ofn", "-o", f"{folder}/out.nt", "--report", f"{folder}/report.json", "--emit", "closure", "-m", "2G", "--benchmark"])
+    cli.run(args, spark)
+    with open(f"{folder}/report.json", encoding="utf-8") as f:
+        report = json.load(f)
+    counts = [("input." + k, report["input"][k]) for k in ("triples", "output_triples", "memory_budget_bytes")] + [("inferred", report["reasoning"]["total_inferred"])]
+    return read_rdf(spark, f"{folder}/out.nt").unionByName(spark.createDataFrame([("report", k, str(v)) for k, v in counts], "s string, p string, o string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{k: _read_data(m) for k, m in DATA.items()}, **{k: _read_ontology(f) for k, f in ONTOLOGIES.items()}, "s12_blank_nodes": s12_blank_nodes, "k1_k6_written_triples": k1_k6_written_triples}
+    return {**{k: _read_data(m) for k, m in DATA.items()}, **{k: _read_ontology(f) for k, f in ONTOLOGIES.items()}, "s12_blank_nodes": s12_blank_nodes, "k1_k6_written_triples": k1_k6_written_triples, "a1_a2_a3_command_line": a1_command_line}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -140,4 +153,8 @@ def oracle_sql() -> dict[str, str]:
     blank = " UNION ALL ".join(f"SELECT '_:f{k}_n' || n_nationkey AS s, '{TYPE}' AS p, '{name('Place')}' AS o FROM nation WHERE n_nationkey <= {20 + k}" for k in (0, 1))
     written = f"""SELECT {nation} AS s, '{name('locatedIn')}' AS p, {region} AS o FROM nation UNION ALL SELECT {part}, '{name('brand')}', '"' || p_brand || '"' FROM part
         UNION ALL SELECT {part}, '{TYPE}', '{name('Branded')}' FROM part UNION ALL SELECT '{name('note')}', '{name('says')}', '"a \\"quoted\\" line\\nand \\\\ a tab\\t"'"""
-    return {**dict.fromkeys([*DATA, *ONTOLOGIES], read), "s12_blank_nodes": blank, "k1_k6_written_triples": written}
+    # n nations in r regions: n triples read; n inverses and r types derived.
+    command = f"""SELECT {nation} AS s, '{name('locatedIn')}' AS p, {region} AS o FROM nation UNION ALL {read} UNION ALL
+        SELECT 'report', k, CAST(v AS VARCHAR) FROM (SELECT unnest(['input.triples', 'input.output_triples', 'input.memory_budget_bytes', 'inferred']) AS k, unnest([n, 2 * n + r, 2147483648, n + r]) AS v
+        FROM (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS r FROM nation))"""
+    return {**dict.fromkeys([*DATA, *ONTOLOGIES], read), "s12_blank_nodes": blank, "k1_k6_written_triples": written, "a1_a2_a3_command_line": command}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hornloom.operators.dictionary import build, decode, encode
 from hornloom.operators.equality import components
-from hornloom.plans.reason import Options, Result, reason
+from hornloom.plans.reason import InconsistencyError, Options, Result, reason
 from hornloom.sources.ofn import parse_functional
 from hornloom.terms import RDFS, SAME_AS, TYPE
 
@@ -201,6 +201,17 @@ QUERIES: dict[str, Query] = {
         f"SELECT {_c('region/0')} AS s, {_c(TYPE)} AS p, {_c('Place')} AS o UNION ALL SELECT {_c('region/0')}, {_c('label')}, '\"first\"' UNION ALL " + _row(_NATION, "locatedIn", _c("World"), "nation WHERE n_regionkey = 0")),
     "n32_disjoint_data_properties": Query(("brands",), "SubDataPropertyOf(:brand :mark) DisjointDataProperties(:brand :mark)",
         _violation("DisjointProperties", "part", _n("part", "p_partkey"), "'\"' || p_brand || '\"'", _c("brand"), _c("mark")), "violations"),
+    "n01_n02_n30_n36_n42_n44_no_effect": Query(("nations",), 'Import(<urn:t:elsewhere>) Declaration(Class(:Place)) AnnotationAssertion(:remark :Place "a place") ReflexiveObjectProperty(:locatedIn) SubClassOf(:Place ObjectMinCardinality(2 :locatedIn)) SubClassOf(ObjectAllValuesFrom(:locatedIn :Place) :Never) SubClassOf(:Place ObjectUnionOf(:Left :Right)) ObjectPropertyDomain(:locatedIn :Place)',
+        _row(_NATION, TYPE, _c("Place"), "nation")),
+    "n31_data_range_k5_literal_subjects": Query(("brands",), "DataPropertyRange(:brand :Tag) SubClassOf(DataSomeValuesFrom(:brand :Tag) :Tagged)", _row(_n("part", "p_partkey"), TYPE, _c("Tagged"), "part")),
+    "n33_datatype_definition_n47_data_ranges": Query(("brands",), 'DatatypeDefinition(:Code <http://www.w3.org/2001/XMLSchema#string>) SubClassOf(DataSomeValuesFrom(:brand :Code) :Coded) SubClassOf(DataSomeValuesFrom(:brand DataIntersectionOf(<http://www.w3.org/2001/XMLSchema#string> :Code)) :Both) SubClassOf(DataSomeValuesFrom(:brand DataIntersectionOf(:Code <http://www.w3.org/2001/XMLSchema#integer>)) :Neither) SubClassOf(DataSomeValuesFrom(:brand DataOneOf("Brand#11")) :Never)',
+        " UNION ALL ".join(_row(_n("part", "p_partkey"), TYPE, _c(x), "part") for x in ("Coded", "Both"))),
+    "n37_nested_expressions_n46_k4_proxies": Query(("placed", "customers"), "SubClassOf(ObjectSomeValuesFrom(:placedBy ObjectIntersectionOf(ObjectHasValue(:locatedIn <urn:t:nation/3>) ObjectSomeValuesFrom(:locatedIn owl:Thing))) ObjectAllValuesFrom(:placedBy :Buyer)) SubClassOf(ObjectSomeValuesFrom(:placedBy ObjectComplementOf(:Buyer)) :Never)",
+        _row(_n("customer", "o_custkey"), TYPE, _c("Buyer"), "orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"), "inferred", True),
+    "n49_literal_spellings": Query(("brands",), 'SubClassOf(DataHasValue(:brand "Brand#11"^^<http://www.w3.org/2001/XMLSchema#string>) :Eleven) SubClassOf(DataHasValue(:brand "Brand#12"@en) :Never)',
+        _row(_n("part", "p_partkey"), TYPE, _c("Eleven"), "part WHERE p_brand = 'Brand#11'")),
+    "c3_top_classes": Query(("segments", "nations"), "SubClassOf(<urn:t:segment/BUILDING> owl:Thing) ObjectPropertyDomain(:locatedIn owl:Thing) ObjectPropertyRange(:locatedIn owl:Thing) SubClassOf(ObjectIntersectionOf(owl:Thing <urn:t:segment/BUILDING>) :Builder) SubClassOf(<urn:t:segment/MACHINERY> ObjectAllValuesFrom(:locatedIn owl:Thing))",
+        _row(_CUST, TYPE, _c("Builder"), "customer WHERE c_mktsegment = 'BUILDING'"), "inferred", True),
     "n43_union_one_of": Query(("segments", "nations"), "SubClassOf(ObjectUnionOf(<urn:t:segment/BUILDING> <urn:t:segment/MACHINERY>) :Either) SubClassOf(ObjectSomeValuesFrom(:locatedIn ObjectOneOf(<urn:t:region/1> <urn:t:region/2>)) :Chosen)",
         _row(_CUST, TYPE, _c("Either"), "customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')") + " UNION ALL " + _row(_NATION, TYPE, _c("Chosen"), "nation WHERE n_regionkey IN (1, 2)")),
     "i6_asymmetric_n35": Query(("nations",), "SubObjectPropertyOf(:locatedIn :near) SymmetricObjectProperty(:near) AsymmetricObjectProperty(:near)", _violation("Asymmetric", "nation", f"least({_NATION}, {_REGION})", f"greatest({_NATION}, {_REGION})", _c("near")), "violations"),
@@ -251,10 +262,78 @@ def r15_long_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reason(spark, triples, ontology("TransitiveObjectProperty(:before)")).inferred()
 
 
+def i11_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations as readable text."""
+    return QUERIES["i1_disjoint_classes"].result(spark, sf_dir).messages()
+
+
+def _error(spark: SparkSession, run: Callable[[], object], kind: type[Exception]) -> DataFrame:
+    """The message of the error that the run ends with; no row if it ends well."""
+    try:
+        run()
+    except kind as e:
+        return spark.createDataFrame([(str(e),)], "message string")
+    return spark.createDataFrame([], "message string")
+
+
+def i10_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that may not go on with violations ends with their kinds and numbers."""
+    q = QUERIES["i1_disjoint_classes"]
+    return _error(spark, lambda: reason(spark, Facts(spark, sf_dir).segments(), ontology(q.axioms), Options(inconsistency="halt")), InconsistencyError)
+
+
+def f13_round_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit of one round, where facts are derived from derived ones."""
+    f = Facts(spark, sf_dir)
+    triples = f.customers().unionByName(f.nations())
+    return _error(spark, lambda: reason(spark, triples, ontology("TransitiveObjectProperty(:locatedIn) ObjectPropertyDomain(:locatedIn :Place) SubClassOf(:Place :Spot)"), Options(max_rounds=1)), RuntimeError)
+
+
+def f14_firings_c16_counters_k8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, value: the report's counters that are not 0, without times and memory."""
+    axioms = (
+        "InverseObjectProperties(:locatedIn :locationOf) SubObjectPropertyOf(:locatedIn :near) SymmetricObjectProperty(:near) ObjectPropertyDomain(:locatedIn :Place) ObjectPropertyRange(:locatedIn :Region)"
+        " SubClassOf(:Region :Area) SubClassOf(ObjectSomeValuesFrom(:locatedIn :Region) :Inner)"
+    )
+    report = reason(spark, Facts(spark, sf_dir).nations(), ontology(axioms), Options(count_candidates=True)).report
+    rows = [(f"{part}.{k}", int(v)) for part in ("ontology", "compiled") for k, v in report[part].items() if v]
+    rows += [(f"firings.{k}", int(v)) for k, v in report["reasoning"]["rule_firings"].items() if v]
+    rows += [(f"rounds.{r['iteration']}.{k}", int(r[k])) for r in report["reasoning"]["iterations"] for k in ("new_types", "new_properties") if r[k]]
+    rows += [(k, int(report["reasoning"][k])) for k in ("total_inferred", "total_iterations", "fixpoint_reached")]
+    return spark.createDataFrame(rows, "name string, value long")
+
+
+def u1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure after the nations came in one batch and the customers in a second, with the nations again."""
+    from hornloom.streaming.incremental import IncrementalReasoner
+
+    f = Facts(spark, sf_dir)
+    r = IncrementalReasoner(spark, ontology("TransitiveObjectProperty(:locatedIn) ObjectPropertyRange(:locatedIn :Place)"))
+    r.update(f.nations())
+    r.update(f.customers().unionByName(f.nations()))
+    return r.closure()
+
+
+_TOTALS = "(SELECT count(*) AS n, count(DISTINCT n_regionkey) AS r FROM nation)"
+#: What each counter of f14_firings_c16_counters_k8_report is, from n nations in r regions.
+_REPORT = {
+    "ontology.total_axioms": "7", "ontology.subclass_of": "1", "ontology.sub_property_of": "1", "ontology.domain": "1", "ontology.range": "1", "ontology.inverse_of": "2", "ontology.symmetric_property": "1", "ontology.some_values_from": "1",
+    "compiled.subclass_closure_size": "1", "compiled.subproperty_closure_size": "1", "compiled.domain_entries": "1", "compiled.range_entries": "1", "compiled.inverse_entries": "2", "compiled.some_values_from_rules": "1",
+    "compiled.indexed_predicates": "3", "compiled.indexed_classes": "1",
+    "firings.subproperty": "n", "firings.inverse": "2 * n", "firings.domain": "n", "firings.range": "n", "firings.subclass": "r", "firings.some_values_from": "n", "firings.symmetric": "2 * n",
+    "rounds.1.new_types": "n + r", "rounds.1.new_properties": "2 * n", "rounds.2.new_types": "n + r", "rounds.2.new_properties": "n", "total_inferred": "5 * n + 2 * r", "total_iterations": "3", "fixpoint_reached": "1",
+}
+
+
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "s20_schema_in_data": (s20_schema_in_data, _row(_CUST, TYPE, _c("Business"), "customer") + " UNION ALL " + _row(_CUST, TYPE, _c("Place"), "customer")),
     "d1_dictionary": (d1_dictionary, f"SELECT {_ORDER} AS s, {_c('placedBy')} AS p, {_n('customer', 'o_custkey')} AS o FROM orders UNION ALL SELECT {_n('part', 'p_partkey')}, {_c('brand')}, '\"' || p_brand || '\"' FROM part"),
     "e1_components": (e1_components, "SELECT o_custkey AS id, o_custkey AS root FROM orders GROUP BY 1 UNION ALL SELECT o_orderkey + 1000000000000, o_custkey FROM orders"),
+    "i11_messages": (i11_messages, f"SELECT 'DisjointClasses' AS kind, {_CUST} || ' is a member of the disjoint classes {name('A')} and {name('B')}' AS detail FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "i10_halt": (i10_halt, "SELECT 'the facts are inconsistent: DisjointClasses (' || count(*) || ')' AS message FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "f13_round_limit": (f13_round_limit, "SELECT 'maximum iterations (1) reached before fixpoint' AS message"),
+    "f14_firings_c16_counters_k8_report": (f14_firings_c16_counters_k8_report, " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({v} AS BIGINT) AS value FROM {_TOTALS}" for k, v in _REPORT.items())),
+    "u1_batches": (u1_batches, f"WITH e AS (SELECT {_CUST} AS s, {_n('nation', 'c_nationkey')} AS o FROM customer UNION SELECT {_NATION}, {_REGION} FROM nation), t AS (SELECT s, o FROM e UNION SELECT {_CUST}, {_REGION} FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT s, {_c('locatedIn')} AS p, o FROM t UNION ALL SELECT DISTINCT o, {_c(TYPE)}, {_c('Place')} FROM t"),
     "r15_long_chains": (r15_long_chains, f"WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT {_n('event', 'a.event_id')} AS s, {_c('before')} AS p, {_n('event', 'b.event_id')} AS o FROM n a JOIN n b ON a.user_id = b.user_id AND b.k > a.k + 1"),
 }
 

@@ -13,7 +13,7 @@ from hornloom.operators.dictionary import build, decode, encode
 from hornloom.operators.tables import id_of
 from hornloom.sources.ofn import parse_functional
 from hornloom.sources.rdf import read_rdf
-from hornloom.sources.sinks import lines
+from hornloom.sources.sinks import lines, write_ntriples
 from hornloom.streaming.incremental import IncrementalReasoner
 
 TRIPLES = "s string, p string, o string"
@@ -68,12 +68,25 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.main(["reason", str(tmp_path / "d.nt"), "-O", str(tmp_path / "o.ofn"), "-o", str(out), "--report", str(report), "-q"]) == 0
     assert out.read_text() == "<http://e/x> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://e/B> .\n"
     r = json.loads(report.read_text())
+    assert (r["input"]["triples"], r["input"]["output_triples"], r["export_time_ms"] >= 0, len(r["ontology"]), len(r["compiled"])) == (1, 1, True, 28, 19)
     assert r["version"] == 2 and r["reasoning"]["total_inferred"] == 1 and [x["kind"] for x in r["inconsistencies"]] == ["DisjointClasses"]
     halted = tmp_path / "halted.nt"
     assert cli.main(["reason", str(tmp_path / "d.nt"), "-O", str(tmp_path / "o.ofn"), "-o", str(halted), "--inconsistency-mode", "halt", "-q"]) == 1
     assert not halted.exists()
 
 
+def test_written_triples_are_counted(spark, tmp_path):
+    rows = [(n(f"a{i}"), n("p"), n("b")) for i in range(50)]
+    df = spark.createDataFrame(rows, TRIPLES).repartition(4)
+    assert write_ntriples(df, str(tmp_path / "folder")) == 50 and write_ntriples(df, str(tmp_path / "one.nt"), True) == 50
+    assert sorted((tmp_path / "one.nt").read_text().splitlines()) == sorted(f"{s} {p} {o} ." for s, p, o in rows)
+    assert write_ntriples(df.limit(0), str(tmp_path / "none.nt"), True) == 0 and (tmp_path / "none.nt").read_text() == ""
+    assert write_ntriples(df.where("false"), str(tmp_path / "empty")) == 0
+    with pytest.raises(Exception, match="the predicate is no IRI"):
+        write_ntriples(spark.createDataFrame([(n("a"), '"p"', n("b"))], TRIPLES), str(tmp_path / "bad.nt"), True)
+    assert not (tmp_path / "bad.nt").exists()
+
+
 def test_report_has_every_inconsistency(spark, tmp_path, caplog):
     (tmp_path / "d.nt").write_text("".join(f"<http://e/x{i}> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://e/A> .\n" for i in range(1200)))
     (tmp_path / "o.ofn").write_text("Prefix(:=<http://e/>) Ontology(SubClassOf(:A :B) DisjointClasses(:A :B))")

@@ -172,6 +172,30 @@ def test_universal_and_limits(spark):
         run(spark, chain, max_rounds=1)
 
 
+def test_round_limit_counts_rounds_without_news(spark):
+    # One round derives y p x, which derives only x p y again: a second round with candidates.
+    cases = {"sym": ("x p y", "SymmetricObjectProperty(:p)", "")}
+    report = run(spark, cases).report["reasoning"]
+    assert (report["total_inferred"], report["total_iterations"], report["fixpoint_reached"]) == (1, 2, True)
+    assert report["iterations"] == [{"iteration": 1, "new_types": 0, "new_properties": 1}]
+    with pytest.raises(RuntimeError, match=r"maximum iterations \(1\) reached"):
+        run(spark, cases, max_rounds=1)
+    assert run(spark, cases, max_rounds=2).report["reasoning"]["total_inferred"] == 1
+    # Equality: the merged individuals' facts feed further rounds, which count as well.
+    same = {"eq": ("a p x; a p y; x q z", "FunctionalObjectProperty(:p) SymmetricObjectProperty(:q)", "")}
+    with pytest.raises(RuntimeError, match="maximum iterations"):
+        run(spark, same, max_rounds=1)
+
+
+def test_firings_by_family(spark):
+    cases = {"fire": ("x p y; x a C", "SubObjectPropertyOf(:p :q) InverseObjectProperties(:p :r) ObjectPropertyDomain(:p :D) ObjectPropertyRange(:p :E) SubClassOf(:C :D) SubClassOf(:D ObjectHasValue(:v :k)) SubClassOf(owl:Thing :U)", "")}
+    fired = run(spark, cases, count_candidates=True).report["reasoning"]["rule_firings"]
+    assert len(fired) == 14 and {k for k, v in fired.items() if not v} == {"symmetric", "transitive", "some_values_from", "all_values_from", "intersection", "property_chain", "swrl"}
+    # p gives r and r gives p again; C and, once derived, D's value.
+    assert (fired["subproperty"], fired["inverse"], fired["domain"], fired["range"], fired["subclass"], fired["has_value"]) == (1, 2, 1, 1, 1, 1)
+    assert run(spark, cases).report["reasoning"]["rule_firings"] == {}
+
+
 def test_data_ranges_and_schema_in_data(spark):
     xsd = "http://www.w3.org/2001/XMLSchema#"
     data = [("<http://a/x>", "<http://a/d>", f'"5"^^<{xsd}integer>'), ("<http://a/y>", "<http://a/d>", '"five"'), ("<http://a/x>", "<http://a/e>", f'"1"^^<{xsd}int>')]
