@@ -210,3 +210,11 @@ def test_pipeline_result_has_the_mixed_order(spark, tmp_path):
     weights = {"src0": 4, "src1": 3, "src2": 3}
     for n in range(0, len(mixed), pfair_mixing.BLOCK_ROWS):
         assert all(abs(mixed[:n].count(s) - n * w / 10) < pfair_mixing.BLOCK_ROWS for s, w in weights.items())
+
+
+def test_mixing_weights_with_a_common_factor(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)], "doc_id long, source string")
+    plain, scaled = ({tuple(x) for x in pfair_mixing.mix(df, {"a": 3 * f, "b": 2 * f}, block_rows=4).collect()} for f in (1, 1_000_000))
+    assert plain == scaled and len(plain) == 300
+    with pytest.raises(ValueError, match="MAX_PERIOD"):
+        pfair_mixing.mix(df, {"a": 1_000_000, "b": 999_999})
