@@ -3,9 +3,10 @@
 1. Each text gives its set of distinct w-word shingles, hashed to 63 bits; the SKETCH smallest hashes are its sketch (small sets are whole in it).
    Texts with equal sets form a class at once (fingerprint of the whole set), and only one member of a class goes on, so groups of exact
    copies cost nothing more.
-2. Inverted lists of the retained values. Linked texts share at least `least` retained values: where the sets are whole that follows from the
-   threshold; else a link over the threshold has a chance under MISS to share fewer. So each class is listed only under its (retained - least + 1)
-   rarest values by global counts, and two linked classes meet in a list at least once. That keeps passages that many texts share out of the lists.
+2. Inverted lists of the retained values. Linked texts share at least `least` retained values: for sets up to about twice SKETCH that follows
+   from the threshold and the size; beyond, a link over the threshold has a chance under MISS to share fewer. So each class is listed only under its
+   (retained - least + 1) rarest values by global counts, and two linked classes meet in a list at least once. That keeps passages that many texts
+   share out of the lists.
 3. Overlaps are found over the lists in two passes. First every member of a list meets the list's hubs alone (linear): classes whose retained
    values are the most common ones, as those of the text are from which copies were made. Confirmed links give labels. Then only members whose label differs from that of their list's hub meet the members of other labels. Members of one label are connected already, so leaving out pairs among them loses no component; a group of
    near copies is never expanded into all its pairs. A bitmap of the MAPPED smallest hashes bounds from above what two members can share, inside the
@@ -189,7 +190,10 @@ class _Join:
         shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
         rarest = values.join(shared, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("common"))  # SKETCH at most
         share = F.ceil(F.col("n") * self.num / self.den)
-        least = F.when(F.col("n") * self.num <= SKETCH * self.den, share).otherwise(F.least(F.lit(need), share))
+        # A union of fewer than SKETCH values is whole in both sketches, and `share` of them are shared. Of a larger one, at most as many as
+        # `unshared` of the SKETCH smallest are in one set only: the union has at most n * den / num values.
+        unshared = F.floor(F.col("n") * (self.den - self.num) / self.num)
+        least = F.greatest(F.least(F.lit(need), share), F.least(SKETCH - unshared, share))
         # Values of one class only come first in the order of rarity: they use up places without a list.
         places = (F.size("vs") - least + 1).cast("int")
         listed = rarest.join(self.classes.select("id", "n"), "id").withColumn("places", places).where("places > 0")

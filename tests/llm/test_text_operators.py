@@ -161,6 +161,19 @@ def test_near_duplicates_equal_brute_force(spark, width, num):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize(("width", "num"), [(3, 85), (5, 80)])
+def test_links_at_the_threshold_are_found_for_sets_of_every_size(spark, width, num):
+    rows = []
+    for size in range(1, 200):  # pairs of equally large sets that share as few shingles as a link may
+        first = [f"a{size}_{i}" for i in range(size + width - 1)]
+        other = next(e for e in range(size, -1, -1) if 100 * (size - e) >= num * (size + e))
+        rows += [(2 * size, " ".join(first)), (2 * size + 1, " ".join(first[: len(first) - other] + [f"b{size}_{i}" for i in range(other)]))]
+    want = brute_components(rows, width, num, 100)
+    assert all(want[2 * size + 1] == (size, 2 * size) for size in range(1, 200))
+    got = minhash_dedup.near_duplicates(docs(spark, rows), width, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_defined_cases(spark):
     got = minhash_dedup.near_duplicates(docs(spark, CASES), 3, 85, 100).collect()
     assert len(got) == len(CASES)
