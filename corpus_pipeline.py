@@ -34,15 +34,15 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the mixed order: the files of the result, read in order, interleave the sources by their weights.
 
-    Spark does not keep that order when it reads the files again; the last stage derives each document's position anew.
+    Spark does not keep that order when it reads the files again; the last stage finds each document's position by its file and row.
     """
     return pfair_mixing.in_order(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, lossless, and the document's place in the mixed order: position, in_mix (see pfair_mixing)."""
+    """doc_id, ids, n_pieces, lossless, and the document's place in the order of the mixing stage's files, which docs scans: position, in_mix."""
     light_batches(spark)
-    placed = pfair_mixing.mix(docs, columns=["doc_id", "text", "source"])
+    placed = pfair_mixing.read_in_order(docs, columns=["doc_id", "text"])
     return piece_sampling.sample_pieces(placed, carry=("position", "in_mix"))
 
 

@@ -18,6 +18,7 @@ gives no rows; all other columns pass through, and helper columns have names wit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from heapq import heappop, heappush
 from math import gcd
@@ -67,13 +68,8 @@ def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
     return ranked.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_before") + F.col("_mix_in") - 1).drop("_mix_before", "_mix_in")
 
 
-def _placed(docs: DataFrame, weights: Mapping[str, int], block_rows: int, source: str, key: str, buckets: int, columns: list[str]) -> DataFrame:
-    """The columns with _mix_source_rank, _mix_block, _mix_slot, _mix_position and _mix_in_mix."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.select(*columns, F.coalesce(F.col(source), F.lit(NULL_SOURCE)).alias("_mix_source"), digest.alias("_mix_order"))
-    rows = rows.withColumn("_mix_bucket", F.pmod(F.conv(F.substring("_mix_order", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    # One row for each source comes to the driver; period() refuses more sources than a period may have slots.
-    counts = {r["_mix_source"]: r["n"] for r in rows.groupBy("_mix_source").agg(F.count("*").alias("n")).collect()}
+def _schedule(counts: Mapping[str, int], weights: Mapping[str, int], block_rows: int) -> tuple[int, dict[str, list[int]], int]:
+    """Slots of a period, slots of each source within it, and the first slot that finds its source empty; of rows by source."""
     shares = {s: int(weights.get(s, 1)) for s in counts}
     # A common factor only repeats the same period.
     common = gcd(*shares.values())
@@ -86,8 +82,22 @@ def _placed(docs: DataFrame, weights: Mapping[str, int], block_rows: int, source
     # The first slot that finds its source empty ends the mix.
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     end = min((blocks[s] // shares[s] * total + places[s][blocks[s] % shares[s]] for s in counts), default=0)
+    return total, places, end
+
+
+def _counts(rows: DataFrame) -> dict[str, int]:
+    """Rows by _mix_source. One row for each source comes to the driver; period() refuses more sources than a period may have slots."""
+    return {r["_mix_source"]: r["n"] for r in rows.groupBy("_mix_source").agg(F.count("*").alias("n")).collect()}
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, int], block_rows: int, source: str, key: str, buckets: int, columns: list[str]) -> DataFrame:
+    """The columns with _mix_source_rank, _mix_block, _mix_slot, _mix_position and _mix_in_mix."""
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = docs.select(*columns, F.coalesce(F.col(source), F.lit(NULL_SOURCE)).alias("_mix_source"), digest.alias("_mix_order"))
+    rows = rows.withColumn("_mix_bucket", F.pmod(F.conv(F.substring("_mix_order", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
+    total, places, end = _schedule(_counts(rows), weights, block_rows)
     spark = docs.sparkSession
-    table = spark.createDataFrame([(s, w, places[s]) for s, w in shares.items()], "_mix_source string, _mix_weight int, _mix_places array<int>")
+    table = spark.createDataFrame([(s, len(at), at) for s, at in places.items()], "_mix_source string, _mix_weight int, _mix_places array<int>")
     out = _ranked(rows, buckets).join(F.broadcast(table), "_mix_source")  # at most MAX_PERIOD numbers
     block = F.floor(F.col("_mix_rank") / block_rows)
     slot = F.floor(block / F.col("_mix_weight")) * total + F.get("_mix_places", F.pmod(block, F.col("_mix_weight")).cast("int"))
@@ -115,6 +125,38 @@ def in_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows:
     return _placed(docs, weights, block_rows, source, key, buckets, docs.columns).orderBy("_mix_position").select(docs.columns)
 
 
+def read_in_order(mixed: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int = BLOCK_ROWS, source: str = "source", columns: list[str] | None = None) -> DataFrame:
+    """Of the Parquet files that in_order's rows were written to, read again: all (or the given) columns, position and in_mix.
+
+    position: the row's number in the order of the files (by part, from 0 without gaps), whatever order Spark reads them in. `mixed` must be a
+    scan of the files. in_mix as above, for the weights that the files were written with.
+    """
+    columns = [c for c in columns or mixed.columns if c not in ("position", "in_mix")]
+    at = mixed.metadataColumn("_metadata")
+    counts = _counts(mixed.select(F.coalesce(F.col(source), F.lit(NULL_SOURCE)).alias("_mix_source")))
+    total, places, end = _schedule(counts, weights, block_rows)
+    blocks = {s: end // total * len(x) + sum(slot < end % total for slot in x) for s, x in places.items()}
+    head = sum(min(n, blocks[s] * block_rows) for s, n in counts.items())
+    # The driver's listing of the files has a row for each as well.
+    files = mixed.select(at["file_name"].alias("_mix_file")).groupBy("_mix_file").agg(F.count("*").alias("n")).collect()
+    before, offsets = 0, []
+    for _, name, n in sorted((_part(r["_mix_file"]), r["_mix_file"], r["n"]) for r in files):
+        offsets.append((name, before))
+        before += n
+    table = mixed.sparkSession.createDataFrame(offsets, "_mix_file string, _mix_before long")
+    rows = mixed.select(*columns, at["file_name"].alias("_mix_file"), at["row_index"].alias("_mix_row")).join(F.broadcast(table), "_mix_file")
+    position = F.col("_mix_before") + F.col("_mix_row")
+    return rows.select(*columns, position.alias("position"), (position < head).alias("in_mix"))
+
+
+def _part(name: str) -> tuple[int, int]:
+    """The numbers of the partition, and of its file, in the name of a file that Spark wrote."""
+    found = re.match(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.|$)", name)
+    if not found:
+        raise ValueError(f"{name}: not a part file of Spark, so its place in the order is unknown")
+    return int(found[1]), int(found[2] or 0)
+
+
 def sql(block_rows: int = BLOCK_ROWS, weights: Mapping[str, int] = WEIGHTS, buckets: int = BUCKETS) -> str:
     """The same over `documents` as DuckDB SQL; a recursive query plays the slots of one period one by one."""
     case = " ".join(f"WHEN '{s}' THEN {w}" for s, w in weights.items())

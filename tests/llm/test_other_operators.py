@@ -212,6 +212,29 @@ def test_pipeline_result_has_the_mixed_order(spark, tmp_path):
         assert all(abs(mixed[:n].count(s) - n * w / 10) < pfair_mixing.BLOCK_ROWS for s, w in weights.items())
 
 
+def test_pieces_take_the_order_of_the_mixing_stage(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text number {i} with its own words a{i} b{i} c{i}", None if i % 50 == 9 else f"src{i % 3}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = sorted(pfair_mixing.mix(docs).collect(), key=lambda x: x.position)
+    assert sorted((x.position, x.doc_id, x.in_mix) for x in mixed) == [(n, x.doc_id, x.in_mix) for n, x in enumerate(want)] and 0 < sum(x.in_mix for x in mixed) < len(rows)
+    # Another order of that stage's files, which are many and of unequal sizes, is another order of the result.
+    back = lambda spark, docs, sf_dir: docs.repartitionByRange(13, F.desc(F.col("doc_id") * F.col("doc_id"))).sortWithinPartitions(F.desc("doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, back if name == "mixing" else stage) for name, stage in corpus_pipeline.STAGES])
+    assert sorted((x.position, x.doc_id) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [(n, 399 - n) for n in range(400)]
+    empty = settle(docs.limit(0), "mixing")
+    assert corpus_pipeline.encode_pieces(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_part_files_are_ordered_by_number():
+    names = [f"part-{n:05}-6b1c-{n % 7}f-c{c:03}.snappy.parquet" for n in (0, 1, 9, 10, 99_999, 100_000, 100_001) for c in (0, 1, 10)]
+    assert sorted(reversed(names), key=pfair_mixing._part) == names
+    with pytest.raises(ValueError, match="order"):
+        pfair_mixing._part("rows.parquet")
+
+
 def test_mixing_weights_with_a_common_factor(spark):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)], "doc_id long, source string")
     plain, scaled = ({tuple(x) for x in pfair_mixing.mix(df, {"a": 3 * f, "b": 2 * f}, block_rows=4).collect()} for f in (1, 1_000_000))
