@@ -11,6 +11,8 @@ from hornloom.operators.tables import among, id_of, is_literal_id, settle, small
 from hornloom.plans.compile import Rules
 
 EDGE = "a long, b long"
+#: Members of a component that one task meets at a time, about; the others go on in parts of their own.
+PART = 1000
 
 
 def components(edges: DataFrame, work_dir: str | None = None) -> DataFrame:
@@ -82,22 +84,42 @@ def conflicts(known: DataFrame, rules: Rules) -> DataFrame:
     return x.where(F.size("ls") > 1).select("p", "s", F.get("ls", F.lit(0)).alias("l1"), F.get("ls", F.lit(1)).alias("l2")).distinct()
 
 
-def members(label: DataFrame) -> DataFrame:
-    """(id, other): every ordered pair of a component, each with itself too."""
-    return label.join(label.select(F.col("id").alias("other"), F.col("root").alias("r2")), F.col("root") == F.col("r2")).select("id", "other")
+def _sized(label: DataFrame) -> DataFrame:
+    """(id, root, n, part, parts): n is the size of the component, which is cut by id into parts of about PART members."""
+    sizes = label.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "_root")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    return label.join(sizes, F.col("root") == F.col("_root")).drop("_root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
-def expand(facts: DataFrame, label: DataFrame) -> DataFrame:
-    """The facts with subjects and objects replaced by all their equals; predicates and classes stay."""
-    m = members(label)
-    ms, mo = m.select(F.col("id").alias("si"), F.col("other").alias("so")), m.select(F.col("id").alias("oi"), F.col("other").alias("oo"))
-    x = facts.join(ms, F.col("s") == F.col("si"), "left").join(mo, (F.col("o") == F.col("oi")) & (F.col("p") != TYPE_ID), "left")
-    return x.where("si is not null or oi is not null").select(F.coalesce("so", "s").alias("s"), "p", F.coalesce("oo", "o").alias("o"))
+def _each_part(df: DataFrame, parts: str, part: str) -> DataFrame:
+    """Every row once for each part of a component, so that the members of a large one are met by many tasks."""
+    return df.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+
+
+def couples(label: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, other): every ordered pair of a component, each with itself too; carried columns of label come for both, those of the other as other_*."""
+    x = _sized(label)
+    right = x.select(F.col("root").alias("r2"), F.col("part").alias("p2"), F.col("id").alias("other"), *(F.col(c).alias(f"other_{c}") for c in carried))
+    left = _each_part(x.select("id", "root", "parts", *carried), "parts", "part")
+    return left.join(right, (F.col("root") == F.col("r2")) & (F.col("part") == F.col("p2"))).select("id", "other", *carried, *(f"other_{c}" for c in carried))
 
 
-def pairs(label: DataFrame) -> DataFrame:
-    """sameAs facts of all ordered pairs of different members."""
-    return members(label).where("id <> other").select(F.col("id").alias("s"), F.lit(SAME_ID).alias("p"), F.col("other").alias("o"))
+def expand(facts: DataFrame, label: DataFrame) -> DataFrame:
+    """The facts with subjects and objects replaced by all their equals; predicates and classes stay.
+
+    Facts that differ only by equals are one group, told by its roots. A group that holds all its combinations already is left out, any other is made once:
+    so the result has no row twice and no more rows than the closure.
+    """
+    x = _sized(label)
+    of = lambda c: x.select(F.col("id").alias(f"{c}i"), F.col("root").alias(f"{c}r"), F.col("n").alias(f"{c}n"), F.col("parts").alias(f"{c}parts"))
+    g = facts.join(of("s"), F.col("s") == F.col("si"), "left").join(of("o"), (F.col("o") == F.col("oi")) & (F.col("p") != TYPE_ID), "left").where("si is not null or oi is not null")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    g = g.select(F.coalesce("sr", "s").alias("gs"), "p", F.coalesce("or", "o").alias("go"), "sr", "or", one("sn").alias("sn"), one("on").alias("on"), one("sparts").alias("sparts"), one("oparts").alias("oparts"))
+    g = g.groupBy("gs", "p", "go").agg(F.count("*").alias("have"), *(F.max(c).alias(c) for c in ("sr", "or", "sn", "on", "sparts", "oparts"))).where(F.col("have") < F.col("sn") * F.col("on"))
+    for c in "so":
+        m = x.select(F.col("root").alias("mr"), F.col("part").alias("mp"), F.col("id").alias(f"{c}m"))
+        g = _each_part(g, f"{c}parts", "at").join(m, (F.col(f"{c}r") == F.col("mr")) & (F.col("at") == F.col("mp")), "left").where(f"{c}r is null or {c}m is not null").drop("mr", "mp", "at")
+    return g.select(F.coalesce("sm", "gs").alias("s"), "p", F.coalesce("om", "go").alias("o"))
 
 
 def different(known: DataFrame, rules: Rules) -> DataFrame:

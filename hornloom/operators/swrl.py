@@ -40,9 +40,8 @@ def _atom(facts: DataFrame, atom: tuple, same: DataFrame | None) -> DataFrame:
             names[a[1]] = column
     if not names:
         return rows.select(F.lit(1).alias("_one")).limit(1)
-    rows = rows.select(*(F.col(c).alias(v) for v, c in names.items()))
-    # Facts are distinct, and every column that is left out is fixed; only pairs of equals can repeat.
-    return rows.distinct() if kind == "same" else rows
+    # Facts and pairs of equals are distinct, and every column that is left out is fixed.
+    return rows.select(*(F.col(c).alias(v) for v, c in names.items()))
 
 
 def _variables(atom: tuple) -> set[str]:

@@ -55,9 +55,9 @@ class _Store:
     def known(self) -> DataFrame:
         return _union(self.parts)
 
-    def fresh(self, cand: DataFrame) -> tuple[DataFrame, int, int]:
-        """The candidates that are new, kept; their number, and how many of them are types."""
-        cand = settle(cand.distinct(), "candidates", self.work_dir)
+    def fresh(self, cand: DataFrame, distinct: bool = False) -> tuple[DataFrame, int, int]:
+        """The candidates (distinct: none comes twice) that are new, kept; their number, and how many of them are types."""
+        cand = settle(cand if distinct else cand.distinct(), "candidates", self.work_dir)
         k = self.known.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         on = (F.col("ks") == F.col("s")) & (F.col("kp") == F.col("p")) & (F.col("ko") == F.col("o"))
         if cand.count() <= FEW:
@@ -135,8 +135,8 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
         out.merges = merged
         if not merged:
             break
-        same = equality.members(label).where("id <> other").select(F.col("id").alias("s"), F.col("other").alias("o"))
-        delta, n, types = store.fresh(equality.expand(store.known, label))
+        same = equality.couples(label).where("id <> other").select(F.col("id").alias("s"), F.col("other").alias("o"))
+        delta, n, types = store.fresh(equality.expand(store.known, label), distinct=True)
         if not n and not changed:
             break
         if n:

@@ -54,39 +54,45 @@ class Result:
     #: Triples read, ontology and literal types included; repeated ones count.
     triples: int = 0
 
-    def _shown(self, facts: DataFrame) -> DataFrame:
-        """Facts fit for output as text: no proxies, no literal subjects, no internal predicates."""
-        x = facts.where(~is_literal_id(F.col("s")) & (F.col("p") != DIFFERENT_ID))
+    def _fit(self, x: DataFrame, columns: str) -> DataFrame:
+        """No proxies."""
         if self.schema.display:
             hidden = small(self.spark, [(id_of(t),) for t in self.schema.display], "hidden long")
-            for c in "spo":
+            for c in columns.split():
                 x = x.join(hidden, F.col(c) == F.col("hidden"), "left_anti")
-        return decode(x, self.dictionary)
+        return x
 
-    def _equal_pairs(self) -> DataFrame | None:
-        return None if self.outcome.label is None else equality.pairs(self.outcome.label)
+    def _shown(self, facts: DataFrame) -> DataFrame:
+        """Facts fit for output as text: no proxies, no literal subjects, no internal predicates."""
+        return decode(self._fit(facts.where(~is_literal_id(F.col("s")) & (F.col("p") != DIFFERENT_ID)), "s p o"), self.dictionary)
+
+    def _pairs(self, but: DataFrame | None = None) -> DataFrame:
+        """Every pair of equals as text, but for these facts. Members get their terms before they are paired, so that the pairs, of which there may be many, need no join of their own."""
+        terms = decode(self._fit(self.outcome.label, "id").withColumn("term", F.col("id")), self.dictionary, ("term",))
+        x = equality.couples(terms, ("term",)).where((F.col("id") != F.col("other")) & ~is_literal_id(F.col("id")))
+        if but is not None:
+            stated = but.where(F.col("p") == SAME_ID).select(F.col("s").alias("ks"), F.col("o").alias("ko"))
+            if not stated.isEmpty():
+                x = x.join(stated, (F.col("id") == F.col("ks")) & (F.col("other") == F.col("ko")), "left_anti")
+        return x.select(F.col("term").alias("s"), F.lit(SAME_AS).alias("p"), F.col("other_term").alias("o"))
 
     def _clean(self, facts: DataFrame) -> DataFrame:
-        return facts.where((F.col("p") != SAME_ID) | (F.col("s") != F.col("o"))) if self.options.sound else facts
+        """Without reflexive sameAs in the sound profile, and without what _pairs() states."""
+        x = facts.where((F.col("p") != SAME_ID) | (F.col("s") != F.col("o"))) if self.options.sound else facts
+        return x if self.outcome.label is None else x.where((F.col("p") != SAME_ID) | (F.col("s") == F.col("o")))
 
-    def inferred_ids(self) -> DataFrame:
+    def _derived(self) -> DataFrame:
         k = self.outcome.asserted.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
-        new = self.outcome.known.join(k, (F.col("s") == F.col("ks")) & (F.col("p") == F.col("kp")) & (F.col("o") == F.col("ko")), "left_anti")
-        # Every pair of equals is stated, also those that were asserted; the sound profile leaves those out again.
-        if (pairs := self._equal_pairs()) is not None:
-            if self.options.sound:
-                pairs = pairs.join(k, (F.col("s") == F.col("ks")) & (F.col("p") == F.col("kp")) & (F.col("o") == F.col("ko")), "left_anti")
-            new = new.unionByName(pairs).distinct()
-        return self._clean(new)
+        return self.outcome.known.join(k, (F.col("s") == F.col("ks")) & (F.col("p") == F.col("kp")) & (F.col("o") == F.col("ko")), "left_anti")
 
     def inferred(self) -> DataFrame:
-        return self._shown(self.inferred_ids())
+        new = self._shown(self._clean(self._derived()))
+        # Every pair of equals is stated, also those that were asserted; the sound profile leaves those out again.
+        return new if self.outcome.label is None else new.unionByName(self._pairs(self.outcome.asserted if self.options.sound else None))
 
     def closure(self) -> DataFrame:
-        every = self.outcome.known
-        if (pairs := self._equal_pairs()) is not None:
-            every = every.unionByName(pairs).distinct()
-        return self._shown(self._clean(every))
+        every = self._shown(self._clean(self.outcome.known))
+        return every if self.outcome.label is None else every.unionByName(self._pairs())
 
     def inconsistencies(self) -> DataFrame:
         """(kind, a, b, c, d) as text; proxies are shown as the expressions they stand for."""
