@@ -151,7 +151,7 @@ def candidates(delta: DataFrame, known: DataFrame, t: RuleTables) -> list[tuple[
         out.append(("class", class_rules(delta, t)))
     if r.universal:
         out.append(("universal", universal_rule(delta, t)))
-    for name, rows, rule in (("some-values-from", r.svf, some_values_rule), ("all-values-from", r.avf, all_values_rule), ("intersection", r.conj, intersection_rule), ("transitive", r.trans, transitive_rule), ("property-chain", r.chains, chain_rule)):
+    for name, rows, rule in (("some-values-from", r.svf, some_values_rule), ("all-values-from", r.avf, all_values_rule), ("intersection", r.conj, intersection_rule), ("transitive", t.trans, transitive_rule), ("property-chain", r.chains, chain_rule)):
         if rows:
             out.append((name, rule(delta, known, t)))
     return out

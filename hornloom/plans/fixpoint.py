@@ -15,11 +15,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.operators import equality, swrl
+from hornloom.operators import equality, paths, swrl
 from hornloom.operators.rules import TYPE_ID, RuleTables, candidates, firings
 from hornloom.operators.swrl import DIFFERENT_ID
 from hornloom.operators.tables import FACT, id_of, settle
 from hornloom.plans.compile import Rules
+from hornloom.terms import SAME_AS, TYPE
 
 log = logging.getLogger("hornloom")
 
@@ -33,6 +34,8 @@ class Outcome:
     asserted: DataFrame
     known: DataFrame
     label: DataFrame | None
+    #: Places by the term of the property, where they stand for pairs of known facts that are two steps or more apart.
+    paths: dict[str, DataFrame] = field(default_factory=dict)
     rounds: list[dict] = field(default_factory=list)
     equality_rounds: int = 0
     merges: int = 0
@@ -47,6 +50,23 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _mentioned(rules: Rules) -> set[str]:
+    """All terms of rules and checks but the list of transitive properties."""
+    out: set[str] = set()
+
+    def walk(x) -> None:
+        if isinstance(x, str):
+            out.add(x)
+        elif isinstance(x, (tuple, list)):
+            for y in x:
+                walk(y)
+
+    for k, value in vars(rules).items():
+        if k not in ("trans", "active", "stats", "families"):
+            walk(value)
+    return out
+
+
 class _Store:
     def __init__(self, asserted: DataFrame, work_dir: str | None):
         self.work_dir, self.parts = work_dir, [asserted]
@@ -72,8 +92,11 @@ class _Store:
         return delta, n, types
 
 
-def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds: int | None = None, work_dir: str | None = None, count_candidates: bool = False, before: DataFrame | None = None) -> Outcome:
-    """facts: (s, p, o) ids of the asserted triples; before: facts that are complete already, to which these are added."""
+def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds: int | None = None, work_dir: str | None = None, count_candidates: bool = False, before: DataFrame | None = None, lazy: bool = False) -> Outcome:
+    """facts: (s, p, o) ids of the asserted triples; before: facts that are complete already, to which these are added.
+
+    lazy: a transitive property that nothing else reads or derives and whose facts are separate paths may be left to `Outcome.paths`.
+    """
     began = time.perf_counter()
     extra = [(id_of(a), DIFFERENT_ID, id_of(b)) for x, y in rules.different for a, b in ((x, y), (y, x))]
     if extra:
@@ -90,6 +113,11 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
     if before is None and not with_equality and not rules.swrl:
         heads = {r[3] for r in rules.by_property} | {r[1] for r in rules.by_class} | {q for q, _ in rules.chains}
         tables.pure = sorted(id_of(p) for p in rules.trans if p not in heads)
+        if lazy and max_rounds is None and not count_candidates:
+            for p in sorted(set(rules.trans) - _mentioned(rules) - {TYPE, SAME_AS}):
+                if (at := paths.places(asserted.where(F.col("p") == id_of(p)).select("s", "o"), work_dir)) is not None:
+                    out.paths[p] = at
+                    tables.trans.remove(id_of(p))
     same: DataFrame | None = None
     merged = 0
 
@@ -141,6 +169,14 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
             break
         if n:
             out.rounds.append({"iteration": len(out.rounds) + 1, "new": n, "new_types": types, "new_properties": n - types})
+    if out.paths:
+        # The rounds in which the pairs would have been found.
+        for i, n in enumerate(paths.news(x for at in out.paths.values() for x in paths.lengths(at))):
+            if i == len(out.rounds):
+                out.rounds.append({"iteration": i + 1, "new": 0, "new_types": 0, "new_properties": 0})
+            out.rounds[i]["new"] += n
+            out.rounds[i]["new_properties"] += n
+        out.tries = len(out.rounds) + 1
     out.known, out.reached = store.known, True
     out.seconds = time.perf_counter() - began
     return out

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornloom.operators import checks, equality
+from hornloom.operators import checks, equality, paths
 from hornloom.operators.dictionary import build, decode, encode
 from hornloom.operators.swrl import DIFFERENT, DIFFERENT_ID, SAME_ID
 from hornloom.operators.tables import id_of, is_literal_id, settle, small
@@ -76,6 +76,15 @@ class Result:
                 x = x.join(stated, (F.col("id") == F.col("ks")) & (F.col("other") == F.col("ko")), "left_anti")
         return x.select(F.col("term").alias("s"), F.lit(SAME_AS).alias("p"), F.col("other_term").alias("o"))
 
+    def _with_more(self, facts: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """The facts, pairs of equals and pairs of paths as text."""
+        if self.outcome.label is not None:
+            facts = facts.unionByName(self._pairs(but))
+        for p, at in self.outcome.paths.items():
+            x = paths.distant(decode(at.withColumn("term", F.col("id")), self.dictionary, ("term",)), "term").where(~is_literal_id(F.col("id")))
+            facts = facts.unionByName(x.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o")))
+        return facts
+
     def _clean(self, facts: DataFrame) -> DataFrame:
         """Without reflexive sameAs in the sound profile, and without what _pairs() states."""
         x = facts.where((F.col("p") != SAME_ID) | (F.col("s") != F.col("o"))) if self.options.sound else facts
@@ -86,13 +95,11 @@ class Result:
         return self.outcome.known.join(k, (F.col("s") == F.col("ks")) & (F.col("p") == F.col("kp")) & (F.col("o") == F.col("ko")), "left_anti")
 
     def inferred(self) -> DataFrame:
-        new = self._shown(self._clean(self._derived()))
         # Every pair of equals is stated, also those that were asserted; the sound profile leaves those out again.
-        return new if self.outcome.label is None else new.unionByName(self._pairs(self.outcome.asserted if self.options.sound else None))
+        return self._with_more(self._shown(self._clean(self._derived())), self.outcome.asserted if self.options.sound else None)
 
     def closure(self) -> DataFrame:
-        every = self._shown(self._clean(self.outcome.known))
-        return every if self.outcome.label is None else every.unionByName(self._pairs())
+        return self._with_more(self._shown(self._clean(self.outcome.known)))
 
     def inconsistencies(self) -> DataFrame:
         """(kind, a, b, c, d) as text; proxies are shown as the expressions they stand for."""
@@ -182,7 +189,7 @@ def reason(spark: SparkSession, triples: DataFrame, axioms: list[tuple] | None =
     every = asserted(triples, schema)
     dictionary = settle(build(every, terms_of(schema, rules)), "dictionary", o.work_dir)
     ingested = time.perf_counter()
-    outcome = materialize(spark, encode(every), rules, o.max_rounds, o.work_dir, o.count_candidates)
+    outcome = materialize(spark, encode(every), rules, o.max_rounds, o.work_dir, o.count_candidates, lazy=not schema.display)
     result = Result(spark, outcome, dictionary, schema, rules, o)
     result.violations = settle(checks.violations(outcome.known, rules, outcome.label), "violations", o.work_dir)
     counts = {r["kind"]: r["count"] for r in result.violations.groupBy("kind").count().collect()}
