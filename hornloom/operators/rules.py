@@ -22,8 +22,7 @@ class RuleTables:
 
     def __init__(self, spark: SparkSession, rules: Rules):
         self.rules, self.spark = rules, spark
-        opt = lambda t: None if t is None else id_of(t)
-        self.by_property = small(spark, [(id_of(p), opt(v), s == "s", id_of(q), {"": 0, "s": 1, "o": 2}[o], id_of(c) if c else 0, rules.families[p, v, s, q, o, c]) for p, v, s, q, o, c in rules.by_property], "rp long, rv long, same_side boolean, np long, from_ int, const long, families array<string>")
+        self.by_property = self.later = self._by_property(rules.by_property)
         self.property_ids = sorted({id_of(r[0]) for r in rules.by_property})
         self.by_class = small(spark, [(*map(id_of, r), rules.families[r]) for r in rules.by_class], "rc long, np long, no long, families array<string>")
         self.class_ids = sorted({id_of(r[0]) for r in rules.by_class})
@@ -41,15 +40,29 @@ class RuleTables:
         self.pure: list[int] = []
         self.universal = sorted(map(id_of, rules.universal))
 
+    def _by_property(self, rows: list[tuple]) -> DataFrame:
+        opt = lambda t: None if t is None else id_of(t)
+        rows = [(id_of(p), opt(v), s == "s", id_of(q), {"": 0, "s": 1, "o": 2}[o], id_of(c) if c else 0, self.rules.families[p, v, s, q, o, c]) for p, v, s, q, o, c in rows]
+        return small(self.spark, rows, "rp long, rv long, same_side boolean, np long, from_ int, const long, families array<string>")
+
+    def leave_repeats(self) -> None:
+        """After the first round, facts of a property that only subproperties give have given its superproperties theirs: the rows are closed. Only right without equality and SWRL."""
+        rules = self.rules
+        plain = lambda r: rules.families[r] == ["subproperty"]
+        others = {r[3] for r in rules.by_property if not plain(r)} | {r[1] for r in rules.by_class} | {q for q, _ in rules.chains} | {*rules.trans}
+        rows = [r for r in rules.by_property if not plain(r) or r[0] in others]
+        if len(rows) < len(rules.by_property):
+            self.later = self._by_property(rows)
+
 
-def _property_matches(delta: DataFrame, t: RuleTables) -> DataFrame:
+def _property_matches(delta: DataFrame, t: RuleTables, first: bool = True) -> DataFrame:
     d = among(delta.where(F.col("p") != TYPE_ID), "p", t.property_ids)
-    return d.join(t.by_property, d["p"] == F.col("rp")).where(F.col("rv").isNull() | (F.col("rv") == F.col("o")))
+    return d.join(t.by_property if first else t.later, F.col("p") == F.col("rp")).where(F.col("rv").isNull() | (F.col("rv") == F.col("o")))
 
 
-def property_rules(delta: DataFrame, t: RuleTables) -> DataFrame:
+def property_rules(delta: DataFrame, t: RuleTables, first: bool = True) -> DataFrame:
     """Subproperty, domain, range, inverse, symmetric, has-value and existence: one broadcast join."""
-    return _property_matches(delta, t).select(F.when(F.col("same_side"), F.col("s")).otherwise(F.col("o")).alias("s"), F.col("np").alias("p"), F.when(F.col("from_") == 0, F.col("const")).when(F.col("from_") == 1, F.col("s")).otherwise(F.col("o")).alias("o"))
+    return _property_matches(delta, t, first).select(F.when(F.col("same_side"), F.col("s")).otherwise(F.col("o")).alias("s"), F.col("np").alias("p"), F.when(F.col("from_") == 0, F.col("const")).when(F.col("from_") == 1, F.col("s")).otherwise(F.col("o")).alias("o"))
 
 
 def _class_matches(delta: DataFrame, t: RuleTables) -> DataFrame:
@@ -142,11 +155,11 @@ def firings(name: str, made: DataFrame, delta: DataFrame, t: RuleTables) -> list
     return [(r["family"], r["count"]) for r in matches.select(F.explode("families").alias("family")).groupBy("family").count().collect()]
 
 
-def candidates(delta: DataFrame, known: DataFrame, t: RuleTables) -> list[tuple[str, DataFrame]]:
-    """(family, candidates) of every family that has rules; others are not even planned."""
+def candidates(delta: DataFrame, known: DataFrame, t: RuleTables, first: bool = True) -> list[tuple[str, DataFrame]]:
+    """(family, candidates) of every family that has rules; others are not even planned. first: delta may hold asserted facts."""
     r, out = t.rules, []
     if r.by_property:
-        out.append(("property", property_rules(delta, t)))
+        out.append(("property", property_rules(delta, t, first)))
     if r.by_class:
         out.append(("class", class_rules(delta, t)))
     if r.universal:

@@ -12,7 +12,7 @@ import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornloom.operators import equality, paths, swrl
@@ -27,6 +27,8 @@ log = logging.getLogger("hornloom")
 COMPACT = 8
 #: Up to this many candidates Spark broadcasts them to the known facts (24 bytes each); beyond, the known facts are shuffled once.
 FEW = 400_000
+#: Properties and classes that the driver keeps a list of, at most.
+KINDS = 500
 
 
 @dataclass
@@ -34,6 +36,8 @@ class Outcome:
     asserted: DataFrame
     known: DataFrame
     label: DataFrame | None
+    #: The known facts that are not asserted, where the run started from all facts; None if there are none.
+    derived: DataFrame | None = None
     #: Places by the term of the property, where they stand for pairs of known facts that are two steps or more apart.
     paths: dict[str, DataFrame] = field(default_factory=dict)
     rounds: list[dict] = field(default_factory=list)
@@ -67,28 +71,58 @@ def _mentioned(rules: Rules) -> set[str]:
     return out
 
 
+def _class() -> Column:
+    return F.when(F.col("p") == TYPE_ID, F.col("o")).otherwise(0)
+
+
+def _is_kind(kinds: set[tuple[int, int]], prefix: str = "") -> Column:
+    """Whether a fact is of one of these properties or classes."""
+    p, o = F.col(f"{prefix}p"), F.col(f"{prefix}o")
+    return ((p != TYPE_ID) & p.isin([k for k, _ in kinds if k != TYPE_ID])) | ((p == TYPE_ID) & o.isin([c for k, c in kinds if k == TYPE_ID]))
+
+
 class _Store:
     def __init__(self, asserted: DataFrame, work_dir: str | None):
         self.work_dir, self.parts = work_dir, [asserted]
+        #: (property, class or 0) of all known facts, if they are few.
+        rows = asserted.select("p", _class().alias("c")).distinct().limit(KINDS + 1).collect()
+        self.kinds: set[tuple[int, int]] | None = {(r["p"], r["c"]) for r in rows} if len(rows) <= KINDS else None
 
     @property
     def known(self) -> DataFrame:
         return _union(self.parts)
 
     def fresh(self, cand: DataFrame, distinct: bool = False) -> tuple[DataFrame, int, int]:
-        """The candidates (distinct: none comes twice) that are new, kept; their number, and how many of them are types."""
+        """The candidates (distinct: none comes twice) that are new, kept; their number, and how many of them are types.
+
+        Candidates of a property or class of which nothing is known are new, so they are neither tested nor written again.
+        """
         cand = settle(cand if distinct else cand.distinct(), "candidates", self.work_dir)
+        counts = cand.groupBy("p", _class().alias("c")).count().limit(KINDS + 1).collect()
+        made = {(r["p"], r["c"]): r["count"] for r in counts} if len(counts) <= KINDS else None
+        common = None if made is None or self.kinds is None else set(made) & self.kinds
         k = self.known.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         on = (F.col("ks") == F.col("s")) & (F.col("kp") == F.col("p")) & (F.col("ko") == F.col("o"))
-        if cand.count() <= FEW:
-            k = k.join(cand, on, "left_semi")
-        delta = settle(cand.join(k, on, "left_anti"), "delta", self.work_dir)
-        n, types = delta.agg(F.count("*"), F.count_if(F.col("p") == TYPE_ID)).first()
+        parts = [] if common is None else [cand.where(~_is_kind(common))] if len(common) < len(made) else []
+        kept = [] if common is None else [n for x, n in made.items() if x not in common]
+        n, types = sum(kept), 0 if common is None else sum(n for (p, c), n in made.items() if p == TYPE_ID and (p, c) not in common)
+        if common is None or common:
+            rest = cand if common is None else cand.where(_is_kind(common))
+            if (cand.count() if made is None else sum(made.values()) - n) <= FEW:
+                k = k.join(rest, on, "left_semi")
+            elif common is not None:
+                k = k.where(_is_kind(common, "k"))
+            new = settle(rest.join(k, on, "left_anti"), "delta", self.work_dir)
+            m, t = new.agg(F.count("*"), F.count_if(F.col("p") == TYPE_ID)).first()
+            n, types = n + m, types + t
+            parts.append(new)
+        delta = _union(parts) if parts else cand
+        self.kinds = None if made is None or self.kinds is None or len(self.kinds | set(made)) > KINDS else self.kinds | set(made)
         if n:
             self.parts.append(delta)
             if len(self.parts) > COMPACT:
-                # The parts are disjoint: merging them needs no distinct.
-                self.parts = [settle(_union(self.parts).hint("rebalance"), "facts", self.work_dir)]
+                # The parts are disjoint: merging them needs no distinct. The first stays, it is told from what is derived.
+                self.parts = [self.parts[0], settle(_union(self.parts[1:]).hint("rebalance"), "facts", self.work_dir)]
         return delta, n, types
 
 
@@ -112,6 +146,8 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
     with_equality = bool(rules.same or rules.fp or rules.ifp or rules.mc1 or rules.keys) or any(h[0] == "same" for _, h in rules.swrl) or not store.known.where(F.col("p") == swrl.SAME_ID).isEmpty()
     if before is None and not with_equality and not rules.swrl:
         heads = {r[3] for r in rules.by_property} | {r[1] for r in rules.by_class} | {q for q, _ in rules.chains}
+        if max_rounds is None and not count_candidates:
+            tables.leave_repeats()
         tables.pure = sorted(id_of(p) for p in rules.trans if p not in heads)
         if lazy and max_rounds is None and not count_candidates:
             for p in sorted(set(rules.trans) - _mentioned(rules) - {TYPE, SAME_AS}):
@@ -134,10 +170,11 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
 
     def inner(delta: DataFrame, whole: bool) -> None:
         """Rounds until nothing is new. whole: rules with equality atoms start over all facts."""
-        n = 1
+        n, first = 1, delta is asserted
         while n:
             known = store.known
-            made = candidates(delta, known, tables)
+            made = candidates(delta, known, tables, first)
+            first = False
             for body, head in rules.swrl:
                 restart = whole and any(a[0] == "same" for a in body)
                 made += [("swrl", x) for x in swrl.apply(body, head, None if restart else delta, known, same)]
@@ -177,6 +214,8 @@ def materialize(spark: SparkSession, facts: DataFrame, rules: Rules, max_rounds:
             out.rounds[i]["new"] += n
             out.rounds[i]["new_properties"] += n
         out.tries = len(out.rounds) + 1
+    if before is None and len(store.parts) > 1:
+        out.derived = _union(store.parts[1:])
     out.known, out.reached = store.known, True
     out.seconds = time.perf_counter() - began
     return out

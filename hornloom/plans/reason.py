@@ -91,6 +91,8 @@ class Result:
         return x if self.outcome.label is None else x.where((F.col("p") != SAME_ID) | (F.col("s") == F.col("o")))
 
     def _derived(self) -> DataFrame:
+        if self.outcome.derived is not None:
+            return self.outcome.derived
         k = self.outcome.asserted.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         return self.outcome.known.join(k, (F.col("s") == F.col("ks")) & (F.col("p") == F.col("kp")) & (F.col("o") == F.col("ko")), "left_anti")
 
