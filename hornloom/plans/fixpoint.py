@@ -101,6 +101,8 @@ class _Store:
         counts = cand.groupBy("p", _class().alias("c")).count().limit(KINDS + 1).collect()
         made = {(r["p"], r["c"]): r["count"] for r in counts} if len(counts) <= KINDS else None
         common = None if made is None or self.kinds is None else set(made) & self.kinds
+        if common and sum(made.values()) <= FEW:
+            common = None  # a cheap test of all keeps the plans small
         k = self.known.select(*(F.col(c).alias(f"k{c}") for c in "spo"))
         on = (F.col("ks") == F.col("s")) & (F.col("kp") == F.col("p")) & (F.col("ko") == F.col("o"))
         parts = [] if common is None else [cand.where(~_is_kind(common))] if len(common) < len(made) else []
